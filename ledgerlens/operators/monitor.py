@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.format import thousands
 
-_NEWEST = [F.col("event_time").desc(), F.col("transaction_id").desc()]
+
+def _newest():
+    return [F.col("event_time").desc(), F.col("transaction_id").desc()]
 
 
 def risk_stats(decisions: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def transaction_records(decisions: DataFrame) -> DataFrame:
 
 def recent_transactions(decisions: DataFrame, n: int = config.RECENT_TX_LIMIT) -> DataFrame:
     """K4: newest ``n`` display records."""
-    return transaction_records(decisions).orderBy(*_NEWEST).limit(n)
+    return transaction_records(decisions).orderBy(*_newest()).limit(n)
 
 
 def alert_feed(decisions: DataFrame, n: int = config.ALERT_FEED_LIMIT) -> DataFrame:
@@ -87,7 +89,7 @@ def alert_feed(decisions: DataFrame, n: int = config.ALERT_FEED_LIMIT) -> DataFr
 def risk_timeline(decisions: DataFrame, n: int = config.TIMELINE_LIMIT) -> DataFrame:
     """K6 / M2: (score, level) of the newest ``n`` decisions."""
     return (decisions.select("transaction_id", "event_time", "risk_score", "risk_level")
-                     .orderBy(*_NEWEST).limit(n))
+                     .orderBy(*_newest()).limit(n))
 
 
 def account_risk_status(decisions: DataFrame) -> DataFrame:
