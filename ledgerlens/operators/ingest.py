@@ -267,3 +267,9 @@ def incremental(clean: DataFrame, since: str | None = None, limit: int | None =
     if limit is not None:
         out = out.orderBy("timestamp_utc", "transaction_id").limit(limit)
     return out
+
+
+def write_clean_table(clean: DataFrame, path: str) -> None:
+    """Persist normalised transactions (parquet; ``ingested_at`` is the
+    time of this write)."""
+    clean.write.mode("overwrite").parquet(path)

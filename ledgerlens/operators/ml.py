@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
-from .ordered import key_rank, last_n
+from .ordered import key_rank, last_n, trailing_window
 
 SEQ_DIM = config.SEQ_LEN * len(config.SEQUENCE_FEATURES)
 _TWO_PI = 2 * math.pi
@@ -77,28 +77,39 @@ def sequences(tx: DataFrame, key: str = "national_code", n: int = config.SEQ_LEN
              .drop("_items", "_prev_ts"))
 
 
-def _range(key: str, days: int):
-    return (Window.partitionBy(key).orderBy(F.unix_micros("event_time"))
-                  .rangeBetween(-days * 86_400_000_000, 0))
-
-
 def behavioral_30d(tx: DataFrame, key: str = "national_code", days: int = 30) -> DataFrame:
     """The 8 behaviour inputs over the trailing ``days`` (rows within
-    [t - days, t], same-time rows included), per transaction."""
-    w = _range(key, days)
-    n = F.count(F.lit(1)).over(w)
-    first = F.min("event_time").over(w)
-    gap = F.when(n > 1, (F.unix_micros("event_time") - F.unix_micros(first)) / F.lit(3_600_000_000.0) / (n - 1))
-    return tx.withColumns({
-        "avg_amount_30d": F.avg("amount_rial").over(w),
-        "std_amount_30d": F.stddev("amount_rial").over(w),
-        "night_ratio_30d": F.avg(F.col("is_night").cast("int")).over(w),
-        "fail_ratio_30d": F.count(F.when(F.col("result") == "FAILED", 1)).over(w) / n,
-        "unique_ips_30d": F.size(F.collect_set("ip_address").over(w)).cast("long"),
-        "unique_devices_30d": F.size(F.collect_set("device_fp_hash").over(w)).cast("long"),
-        "tx_count_30d": n,
-        "avg_tx_gap_hours_30d": gap,
-    })
+    [t - days, t], same-time rows included), per transaction.
+
+    One event sweep gives count, exact amount sums (decimal) for mean and
+    sample std, night and fail counts and distinct IPs/devices; the first
+    time in the window (for the mean gap) is looked up by rank."""
+    amt = F.col("amount_rial")
+    sw = trailing_window(
+        tx, key, days * 86400,
+        sums={"_n": F.lit(1), "_s1": amt, "_s2": amt.cast("decimal(38,0)") * amt.cast("decimal(38,0)"),
+              "_night": F.col("is_night").cast("int"),
+              "_fail": F.when(F.col("result") == "FAILED", 1).otherwise(0)},
+        distincts={"unique_ips_30d": "ip_address", "unique_devices_30d": "device_fp_hash"},
+        cumulative={"_upto": F.lit(1)})
+    ranks = key_rank(tx.select(key, "event_time", "transaction_id"), key).select(
+        F.col(key).alias("_rk"), F.col("seq_rank").alias("_first_rank"), F.col("event_time").alias("_first_ts"))
+    sw = sw.withColumn("_first_rank", (F.col("_upto") - F.col("_n") + 1).cast("long"))
+    sw = sw.join(ranks, (sw[key].eqNullSafe(ranks["_rk"])) & (sw["_first_rank"] == ranks["_first_rank"]), "left") \
+           .drop(ranks["_first_rank"]).drop("_rk")
+    n = F.col("_n").cast("double")
+    var_num = F.col("_n").cast("decimal(38,0)") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    gap = F.when(F.col("_n") > 1, (F.unix_micros("event_time") - F.unix_micros("_first_ts"))
+                 / F.lit(3_600_000_000.0) / (n - 1))
+    return (sw.withColumn("avg_amount_30d", F.col("_s1").cast("double") / n)
+              .withColumn("std_amount_30d", F.when(F.col("_n") > 1, F.sqrt(var_num.cast("double") / (n * (n - 1)))))
+              .withColumn("night_ratio_30d", F.col("_night").cast("double") / n)
+              .withColumn("fail_ratio_30d", F.col("_fail").cast("double") / n)
+              .withColumn("unique_ips_30d", F.col("unique_ips_30d").cast("long"))
+              .withColumn("unique_devices_30d", F.col("unique_devices_30d").cast("long"))
+              .withColumn("tx_count_30d", F.col("_n").cast("long"))
+              .withColumn("avg_tx_gap_hours_30d", gap)
+              .drop("_n", "_s1", "_s2", "_night", "_fail", "_upto", "_first_rank", "_first_ts"))
 
 
 def behavioral_profile(tx: DataFrame, as_of: str, key: str = "national_code", days: int = 30) -> DataFrame:

@@ -62,8 +62,9 @@ def clean_fields(events: DataFrame) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean normalised transactions with ``account_type`` attached (J9 input)."""
+def build_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean normalised transactions with ``account_type`` attached (J9 input),
+    computed from the driver tables (no materialisation)."""
     from ..operators.ingest import normalize_fields
     from ..operators.enrich import attach_account_type
 
@@ -135,3 +136,39 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_fields(ev)
     cols = [c for c in raw.columns if c != "event_id"]
     return raw.select(F.to_json(F.struct(*cols)).alias("payload"))
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Identity of the source tables: path, sizes and modification times."""
+    import hashlib
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = [sf_dir]
+    for name in ("events", "customer"):
+        p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        fs = p.getFileSystem(conf)
+        for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:
+            parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:20]
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean transaction table (S6), written once under the shared
+    checkpoint folder and read back.  Downstream jobs then start from a plain
+    parquet scan: their plans stay small and a lost executor re-reads the
+    table instead of recomputing the normalisation lineage."""
+    from ..operators.ingest import write_clean_table
+    from ..session import scratch_path
+    import uuid
+    target = scratch_path(spark, f"clean-tx-{_fingerprint(spark, sf_dir)}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    tp = jvm.org.apache.hadoop.fs.Path(target)
+    fs = tp.getFileSystem(conf)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")):
+        tmp = f"{target}-{uuid.uuid4().hex}"
+        write_clean_table(build_transactions(spark, sf_dir), tmp)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tp):
+            if not fs.exists(jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")):
+                target = tmp
+    return spark.read.parquet(target)
