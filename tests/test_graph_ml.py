@@ -134,3 +134,21 @@ def test_combine(spark):
                                "lstm_score double, ae_score double, behavioral_score double")
     got = [r.ml_score for r in ML.combine_scores(df).collect()]
     assert got == [0.0, 1.0, 1.0, round((0.2 * 0.5 + 0.4 * 0.3) / 0.8, 4)]
+
+
+def test_trailing_window_matches_range_frames(spark):
+    from pyspark.sql.window import Window
+    from ledgerlens.operators.ordered import trailing_window
+    rng = np.random.default_rng(5)
+    keys = ["hot", "a", "b", None]
+    rows = [(f"t{i}", keys[int(rng.integers(0, 4))], int(rng.integers(0, 20000)), int(rng.integers(1, 100)),
+             f"v{int(rng.integers(0, 6))}") for i in range(800)]
+    df = spark.createDataFrame(rows, "transaction_id string, k string, s long, x long, v string").withColumn(
+        "event_time", F.timestamp_seconds("s"))
+    got = trailing_window(df, "k", 600, sums={"sx": F.col("x"), "n": F.lit(1)}, distincts={"dv": "v"},
+                          chunk_seconds=900)
+    w = Window.partitionBy("k").orderBy(F.unix_micros("event_time")).rangeBetween(-600_000_000, 0)
+    want = df.select("transaction_id", F.sum("x").over(w).alias("sx"), F.count(F.lit(1)).over(w).alias("n"),
+                     F.size(F.collect_set("v").over(w)).alias("dv"))
+    g = {r.transaction_id: (int(r.sx), int(r.n), int(r.dv)) for r in got.collect()}
+    assert g == {r.transaction_id: (int(r.sx), int(r.n), int(r.dv)) for r in want.collect()}
