@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by column-wise suffix sorting.
 
 Every byte covered by a string of ``length`` bytes that also starts in a
-document with a smaller id is removed.  Work goes in four passes, none of
-which gathers the text:
+document with a smaller id is removed.  Work goes in passes over the
+blocks, none of which gathers the text:
 
 1. ``pack``: documents become blocks of some megabytes, written once as a
    table bucketed by block, so that later passes join with it in place.
@@ -11,16 +11,20 @@ which gathers the text:
    Neighbouring strings share it, so a run of them is one short fragment.  A
    block sends its distinct minimizers (32 bits each, packed); ``shared``
    finds those that stand more than once in the collection.
-3. ``fragment_rows``: blocks send the distinct fragments of shared minimizers
-   with the smallest document id that holds them, dealt by minimizer.  A
-   minimizer with many fragments (a line that stands in many contexts) is
-   dealt by the strings themselves instead, so no task gets a hot one whole.
-4. ``answers``: a task sorts the suffixes of its fragments column by column
+3. ``entry_rows``: of shared minimizers, blocks send a hash of each distinct
+   fragment and the smallest document id that holds it.  Where a minimizer has
+   one fragment in the whole collection, ``judged`` answers at once: nothing
+   else can hold its strings.  Most of an exact copy ends here.
+4. ``fragment_rows``: blocks send the fragments of the others, dealt by
+   minimizer.  A minimizer with many (a line that stands in many contexts) is
+   dealt by the strings themselves, so no task gets a hot one whole.
+   ``answers``: a task sorts the suffixes of its fragments column by column
    (``build``): each round inserts one more symbol of every fragment into the
    collection's Burrows-Wheeler transform and common prefixes, both rewritten
    from front to back.  Rows whose common prefix has ``length`` symbols are
    the same string; the smallest document of each is compared with the
-   fragment's own, and one bit a string goes back to the block.
+   fragment's own, and one bit a string goes back to the block, where
+   ``removal`` takes the covered bytes out.
 
 The construction's "files" are arrays rewritten sequentially in the memory of
 a task: a task's fragments are bounded (``FRAGMENTS`` on average; equal ones
@@ -188,19 +192,21 @@ def key_rows(length: int, buckets: int):
     return run
 
 
-def shared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """One bucket: which of each block's minimizers stand more than once, and
-    which of them have many fragments."""
-    parts = [np.frombuffer(x, np.uint32) for x in rows.column("keys").to_pylist()]
-    times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
-    keys, back = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(back, weights=times, minlength=len(keys))
-    code = (total > 1).astype(np.uint8) + (total > HOT)
-    ends = np.cumsum([len(p) for p in parts])
-    codes = [code[b] for b in np.split(back, ends[:-1])]
-    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"),
-                     "found": pa.array([int((c > 0).sum()) for c in codes], pa.int64()),
-                     "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+def shared(hot: int):
+    """One bucket: which of each block's minimizers stand more than once (1),
+    and which of them more than ``hot`` times (2)."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for x in rows.column("keys").to_pylist()]
+        times = np.frombuffer(b"".join(rows.column("times").to_pylist()), np.uint8)
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(back, weights=times, minlength=len(keys))
+        code = (total > 1).astype(np.uint8) + (total > hot)
+        ends = np.cumsum([len(p) for p in parts])
+        codes = [code[b] for b in np.split(back, ends[:-1])]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"),
+                         "many": pa.array([int((c > 1).sum()) * RUN for c in codes], pa.int64()),
+                         "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+    return run
 
 
 # ---------------------------------------------------------------- fragments
@@ -208,67 +214,154 @@ def shared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 FRAGMENT_ROWS = "block bigint, cell int, n int, body binary, lengths binary, docs binary"
 
 
+def distinct(raw: bytes, start: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int):
+    """Number of each fragment's text, the texts, an occurrence and the
+    smallest document of each."""
+    number: dict[bytes, int] = {}
+    entry = np.array([number.setdefault(raw[a:a + n + length - 1], len(number))
+                      for a, n in zip(start.tolist(), count.tolist())], dtype=np.int64)
+    least = np.full(len(number), LAST, dtype=np.int64)
+    np.minimum.at(least, entry, doc)
+    some = np.zeros(len(number), dtype=np.int64)
+    some[entry] = np.arange(len(entry))
+    return entry, list(number), some, least
+
+
+class Block:
+    """A block with the codes of its minimizers: its shared fragments."""
+
+    def __init__(self, blocks: pa.Table, codes: list[tuple[int, bytes]], length: int, buckets: int):
+        self.raw = blocks.column("body")[0].as_py()
+        lengths = blocks.column("lengths")[0].values.to_numpy()
+        ids = np.array([LAST if i is None else i for i in blocks.column("ids")[0].as_py()], dtype=np.int64)
+        start, count, mini, keys, back, _, cuts = block_keys(np.frombuffer(self.raw, np.uint8), lengths, length, buckets)
+        code = np.zeros(len(keys), dtype=np.uint8)
+        for k, c in codes:
+            code[cuts[k]:cuts[k + 1]] = np.frombuffer(c, np.uint8)
+        code = code[back]
+        ends = np.cumsum(lengths)
+        few, many = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
+        self.start, self.count, self.mini = start[few], count[few], mini[few]
+        self.doc = ids[np.searchsorted(ends, self.start, side="right")]
+        self.entry, self.texts, self.some, self.least = distinct(self.raw, self.start, self.count, self.doc, length)
+        # entries by bucket: the order in which they are sent and answered
+        bucket = bucket_of(self.mini[self.some], buckets).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        # each string of a hot minimizer
+        first = np.cumsum(count[many]) - count[many]
+        self.hot = np.repeat(start[many] - first, count[many]) + np.arange(int(count[many].sum()))
+        self.hot_doc = ids[np.searchsorted(ends, self.hot, side="right")]
+
+
+def entry_rows(length: int, buckets: int):
+    """Blocks with their codes to (bucket, block, entries): minimizer, hash and
+    smallest document of each distinct fragment, packed."""
+    def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, codes: pa.Table) -> pa.Table:
+        from xxhash import xxh64_intdigest
+        out = [[], [], []]
+        if blocks.num_rows:
+            own = Block(blocks, list(zip(codes.column("bucket").to_pylist(), codes.column("codes").to_pylist())), length, buckets)
+            rows = np.zeros(len(own.texts), dtype=ENTRY)
+            rows["key"] = own.mini[own.some].astype(np.uint32)
+            rows["hash"] = [xxh64_intdigest(t) for t in own.texts]
+            rows["doc"] = own.least
+            rows = rows[own.order]
+            used = np.flatnonzero(np.diff(own.cuts))
+            out = [used.tolist(), [key[0].as_py()] * len(used), [rows[own.cuts[k]:own.cuts[k + 1]].tobytes() for k in used]]
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "block": pa.array(out[1], pa.int64()),
+                         "entries": pa.array(out[2], pa.binary())})
+    return run
+
+
+ENTRY = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8")])
+
+
+def judged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """One bucket: 2 for a fragment whose minimizer has others, else 1 if a
+    smaller document holds the same one, else 0."""
+    raw = rows.column("entries").to_pylist()
+    own = np.frombuffer(b"".join(raw), ENTRY)
+    keys, back = np.unique(own["key"], return_inverse=True)
+    low, high = np.full(len(keys), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(keys), np.uint64)
+    least = np.full(len(keys), LAST, np.int64)
+    np.minimum.at(low, back, own["hash"])
+    np.maximum.at(high, back, own["hash"])
+    np.minimum.at(least, back, own["doc"])
+    code = np.where((low != high)[back], 2, least[back] < own["doc"]).astype(np.uint8)
+    codes = np.split(code, np.cumsum([len(x) // ENTRY.itemsize for x in raw])[:-1])
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"),
+                     "found": pa.array([int((c == 2).sum()) for c in codes], pa.int64()),
+                     "codes": pa.array([c.tobytes() for c in codes], pa.binary())})
+
+
 def fragment_rows(length: int, buckets: int, cells: int):
-    """Blocks with their codes to rows of fragments for each cell, and one row
-    (cell -1) that says where each fragment stands in the block."""
-    def run(key, blocks: pa.Table, codes: pa.Table) -> pa.Table:
+    """Blocks with both kinds of codes to rows of fragments for each cell, and
+    one row (cell -1) with the ranges already known to go (``lengths``) and
+    the fragments whose answer is open: start, number of strings and place
+    among the answered bits (``body``)."""
+    def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, codes: pa.Table) -> pa.Table:
         names = ["block", "cell", "n", "body", "lengths", "docs"]
         out: dict[str, list] = {c: [] for c in names}
         block = key[0].as_py()
         if blocks.num_rows:
-            raw = blocks.column("body")[0].as_py()
-            lengths = blocks.column("lengths")[0].values.to_numpy()
-            ids = np.array([LAST if i is None else i for i in blocks.column("ids")[0].as_py()], dtype=np.int64)
-            start, count, mini, keys, back, _, cuts = block_keys(np.frombuffer(raw, np.uint8), lengths, length, buckets)
-            code = np.zeros(len(keys), dtype=np.uint8)
-            for k, c in zip(codes.column("bucket").to_pylist(), codes.column("codes").to_pylist()):
-                code[cuts[k]:cuts[k + 1]] = np.frombuffer(c, np.uint8)
-            code = code[back]
-            keep = np.flatnonzero(code)
-            start, count, mini, code = start[keep], count[keep], mini[keep], code[keep]
-            hot = code == 2  # one fragment for each string
-            of = np.repeat(np.arange(len(start)), np.where(hot, count, 1))
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
-            start = start[of] + (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of)))))
-            count, mini, hot = np.where(hot[of], 1, count[of]), mini[of], hot[of]
-            doc = ids[np.searchsorted(np.cumsum(lengths), start, side="right")]
-            number: dict[bytes, int] = {}
-            pieces = [raw[a:a + n + length - 1] for a, n in zip(start.tolist(), count.tolist())]
-            entry = np.array([number.setdefault(p, len(number)) for p in pieces], dtype=np.int64)
-            least = np.full(len(number), LAST, dtype=np.int64)
-            np.minimum.at(least, entry, doc)
-            if len(number):
-                texts = list(number)
-                some = np.zeros(len(texts), dtype=np.int64)
-                some[entry] = np.arange(len(entry))  # an occurrence of each
-                cell = (mini[some] % np.uint64(1 << 40) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(cells)
-                for i in np.flatnonzero(hot[some]).tolist():
-                    cell[i] = string_cell(texts[i], cells)
-                cell = cell.astype(np.int64)
-                order = np.argsort(cell, kind="stable")
-                # bits come back cell by cell in this order, a fragment's one after the other
-                sizes = np.array([len(t) for t in texts], dtype=np.int64)
-                bits = sizes[order] - length + 1
-                place = np.zeros(len(texts), dtype=np.int64)
-                place[order] = np.cumsum(bits) - bits
-                for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                    out["block"].append(block)
-                    out["cell"].append(int(cell[part[0]]))
-                    out["n"].append(len(part))
-                    out["body"].append(b"".join([texts[i] for i in part]))
-                    out["lengths"].append(sizes[part].astype(np.uint8).tobytes())
-                    out["docs"].append(least[part].tobytes())
+            both = list(zip(*(codes.column(c).to_pylist() for c in ("kind", "bucket", "codes"))))
+            own = Block(blocks, [(b, c) for k, b, c in both if k == 0], length, buckets)
+            code = np.zeros(len(own.texts), dtype=np.uint8)
+            for k, b, c in both:
+                if k == 1:
+                    code[own.order[own.cuts[b]:own.cuts[b + 1]]] = np.frombuffer(c, np.uint8)
+            later = (own.doc > own.least[own.entry]) | (code[own.entry] == 1)
+            hot_entry, hot_texts, _, hot_least = distinct(own.raw, own.hot, np.ones(len(own.hot), np.int64), own.hot_doc, length)
+            hot_later = own.hot_doc > hot_least[hot_entry]
+            sure = merged_ranges(np.concatenate([own.start[later], own.hot[hot_later]]),
+                                 np.concatenate([(own.start + own.count)[later], own.hot[hot_later] + 1]) + length - 1)
+            # fragments to sort: those with others beside them, and hot strings
+            sort = np.flatnonzero(code == 2)
+            texts = [own.texts[i] for i in sort.tolist()] + hot_texts
+            least = np.concatenate([own.least[sort], hot_least])
+            cell = np.concatenate([
+                ((own.mini[own.some[sort]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(cells),
+                np.array([string_cell(t, cells) for t in hot_texts], dtype=np.uint64)]).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            # bits come back cell by cell in this order, a fragment's one after the other
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            bits = sizes[order] - length + 1
+            place = np.zeros(len(texts), dtype=np.int64)
+            place[order] = np.cumsum(bits) - bits
+            for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else ():
                 out["block"].append(block)
-                out["cell"].append(-1)
-                out["n"].append(len(start))
-                out["body"].append(np.stack([start, count, place[entry]]).astype(np.int32).tobytes())
-                out["lengths"].append(b"")
-                out["docs"].append(least[entry].tobytes())
+                out["cell"].append(int(cell[part[0]]))
+                out["n"].append(len(part))
+                out["body"].append(b"".join([texts[i] for i in part]))
+                out["lengths"].append(sizes[part].astype(np.uint8).tobytes())
+                out["docs"].append(least[part].tobytes())
+            where = np.zeros(len(own.texts), dtype=np.int64)
+            where[sort] = place[:len(sort)]
+            open_ = np.flatnonzero((code[own.entry] == 2) & ~later)
+            hot_open = np.flatnonzero(~hot_later)
+            pending = np.stack([np.concatenate([own.start[open_], own.hot[hot_open]]),
+                                np.concatenate([own.count[open_], np.ones(len(hot_open), np.int64)]),
+                                np.concatenate([where[own.entry[open_]], place[len(sort) + hot_entry[hot_open]]])])
+            out["block"].append(block)
+            out["cell"].append(-1)
+            out["n"].append(pending.shape[1])
+            out["body"].append(pending.astype(np.int64).tobytes())
+            out["lengths"].append(sure.astype(np.int64).tobytes())
+            out["docs"].append(b"")
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({c: pa.array(out[c], k) for c, k in zip(names, kinds)})
     return run
 
 
+def merged_ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Union of ranges, as rows of starts and ends in ascending order."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(order) else end
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1])) if len(start) else np.zeros(0, np.int64)
+    return np.stack([start[new], end[np.append(new[1:], len(end)) - 1]]) if len(start) else np.zeros((2, 0), np.int64)
+
+
 def string_cell(text: bytes, cells: int) -> int:
     from xxhash import xxh64_intdigest
     return xxh64_intdigest(text) % cells
@@ -415,23 +508,20 @@ def removal(length: int, meta: pa.DataType, whole_characters: bool = False):
             return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
         raw = blocks.column("body")[0].as_py()
         lengths = blocks.column("lengths")[0].values.to_numpy().astype(np.int64)
-        ids = np.array([LAST if i is None else i for i in blocks.column("ids")[0].as_py()], dtype=np.int64)
         ends = np.cumsum(lengths)
         edge = np.zeros(len(raw) + 1, dtype=np.int32)
         rows = sorted(zip(*(found.column(c).to_pylist() for c in ("cell", "body", "lengths", "docs"))), key=lambda r: r[0])
         if rows:
-            _, places, _, docs = rows[0]
-            start, count, place = np.frombuffer(places, np.int32).reshape(3, -1).astype(np.int64)
-            least = np.frombuffer(docs, np.int64)
-            bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little",
-                                                 count=int.from_bytes(n, "little")) for _, b, n, _ in rows[1:]])
+            _, places, sure, _ = rows[0]
+            start, count, place = np.frombuffer(places, np.int64).reshape(3, -1)
+            bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(
+                np.frombuffer(b, np.uint8), bitorder="little", count=int.from_bytes(n, "little")) for _, b, n, _ in rows[1:])])
             first = np.cumsum(count) - count
             step = np.arange(int(count.sum())) - np.repeat(first, count)
-            at = np.repeat(start, count) + step
-            later = ids[np.searchsorted(ends, start, side="right")] > least
-            gone = at[(bits[np.repeat(place, count) + step] > 0) | np.repeat(later, count)]
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + length, -1)
+            gone = (np.repeat(start, count) + step)[bits[np.repeat(place, count) + step] > 0]
+            sure = np.frombuffer(sure, np.int64).reshape(2, -1)
+            np.add.at(edge, np.concatenate([gone, sure[0]]), 1)
+            np.add.at(edge, np.concatenate([gone + length, sure[1]]), -1)
         covered = np.cumsum(edge[:-1]) > 0
         body = np.frombuffer(raw, np.uint8)
         if whole_characters and len(body):
@@ -453,7 +543,7 @@ def removal(length: int, meta: pa.DataType, whole_characters: bool = False):
 
 
 def dedup(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", block: int = BLOCK,
-          whole_characters: bool = False) -> DataFrame:
+          whole_characters: bool = False, hot: int = HOT) -> DataFrame:
     """Every row's other columns (struct ``meta``), ``n_bytes``, ``kept`` (the
     bytes that stay) and ``spans`` (removed byte ranges, ascending).  With
     ``whole_characters`` a character goes only if all its bytes do."""
@@ -474,13 +564,18 @@ def dedup(df: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str =
 
     keys = blocks.select("block", "body", "lengths").mapInArrow(
         key_rows(length, buckets), "bucket int, block bigint, keys binary, times binary")
-    codes = written(keys.groupBy("bucket").applyInArrow(shared, "block bigint, bucket int, found bigint, codes binary"), "suffix-codes")
-    found = codes.agg(F.sum("found")).first()[0] or 0
+    codes = written(keys.groupBy("bucket").applyInArrow(shared(hot), "block bigint, bucket int, many bigint, codes binary"), "suffix-codes")
+    by_block = blocks.select("block", "body", "lengths", "ids").groupBy("block")
+    entries = by_block.cogroup(codes.groupBy("block")).applyInArrow(
+        entry_rows(length, buckets), "bucket int, block bigint, entries binary")
+    verdicts = written(entries.groupBy("bucket").applyInArrow(judged, "block bigint, bucket int, found bigint, codes binary"),
+                       "suffix-verdicts")
+    found = (verdicts.agg(F.sum("found")).first()[0] or 0) + (codes.agg(F.sum("many")).first()[0] or 0)
     cells = int(found / FRAGMENTS) + 1
 
-    fragments = written(
-        blocks.select("block", "body", "lengths", "ids").groupBy("block").cogroup(codes.groupBy("block"))
-        .applyInArrow(fragment_rows(length, buckets, cells), FRAGMENT_ROWS), "suffix-fragments")
+    told = codes.drop("many").withColumn("kind", F.lit(0)).unionByName(verdicts.drop("found").withColumn("kind", F.lit(1)))
+    fragments = written(by_block.cogroup(told.groupBy("block")).applyInArrow(
+        fragment_rows(length, buckets, cells), FRAGMENT_ROWS), "suffix-fragments")
     replies = fragments.where("cell >= 0").groupBy("cell").applyInArrow(answers(length), FRAGMENT_ROWS)
     back = fragments.where("cell < 0").unionByName(replies)
     from pyspark.sql.pandas.types import to_arrow_type
