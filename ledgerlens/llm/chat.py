@@ -39,7 +39,7 @@ def errors(tool: Column, parsed: Column, schemas: dict[str, Schema]) -> Column:
     """Sorted array of what is wrong with a call's arguments."""
     found = F.array(F.lit("unknown tool"))
     for name, schema in schemas.items():
-        tests = [F.when(F.schema_of_variant(parsed).startswith("OBJECT"), None).otherwise("not an object")]
+        tests = [F.lit(None).cast("string")]
         for arg, (kind, required, least, most) in schema.items():
             value = F.try_variant_get(parsed, f"$.{arg}", "variant")
             type_ = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
@@ -55,7 +55,8 @@ def errors(tool: Column, parsed: Column, schemas: dict[str, Schema]) -> Column:
             if most is not None:
                 tests.append(F.when(~absent & right & (size > most), f"{arg}: above {most}"))
         found = F.when(tool == name, F.array_sort(F.array_compact(F.array(*tests)))).otherwise(found)
-    return F.when(parsed.isNull(), F.array(F.lit("not JSON"))).otherwise(found)
+    return (F.when(parsed.isNull(), F.array(F.lit("not JSON")))
+            .when(~F.schema_of_variant(parsed).startswith("OBJECT"), F.array(F.lit("not an object"))).otherwise(found))
 
 
 def levels(calls: DataFrame) -> DataFrame:
