@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Texts handled together inside one task are cut to groups of about this many
 #: bytes, so memory follows the setting and not the number of rows in a batch.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +44,20 @@ def over_texts(make: Callable[[], Callable[[list[str]], pa.Array]]):
                 col = col.combine_chunks()
             parts = [work([x or "" for x in part.to_pylist()]) for part in byte_groups(col)]
             yield pa.concat_arrays(parts) if parts else work([])
+        trim()
     return run
 
 
+def trim() -> None:
+    """Give back memory that a finished task has freed: workers live on, and
+    what their allocators keep would count against the executor."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def lists(flat, lengths, kind: pa.DataType) -> pa.Array:
     """list<kind> from the concatenated values and the length of each row."""
     import numpy as np

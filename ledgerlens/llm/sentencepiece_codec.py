@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, over_texts
+from .common import lists, over_texts, trim
 
 SPACE = "▁"
 NO_PAIR = np.iinfo(np.int32).max
-#: Distinct units a worker remembers; it forgets them all beyond this many.
-REMEMBERED = 400_000
+#: Distinct units a worker remembers; beyond, those of the texts at hand.
+REMEMBERED = 250_000
+#: Texts decoded at once.
+ROWS = 512
 
 
 class Vocabulary:
@@ -230,7 +232,8 @@ class Encoder:
         v = self.v
         cut = [v.cut(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            here = set().union(*cut)  # the common units are among these
+            self.known = {u: self.known[u] for u in here if u in self.known}
         new = list(set().union(*cut) - self.known.keys()) if cut else []
         if new:
             self.learn(new)
@@ -323,10 +326,12 @@ def decode_udf(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = Decoder(path)
         for col in batches:
-            offsets = col.offsets.to_numpy()
-            flat = col.values.to_numpy(zero_copy_only=False)
-            yield pa.array([decode(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())],
-                           type=pa.string())
+            offsets, flat, parts = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False), []
+            for lo in range(0, len(col), ROWS):
+                at = offsets[lo:lo + ROWS + 1].tolist()
+                parts.append(pa.array([decode(flat[a:b]) for a, b in zip(at, at[1:])], type=pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        trim()
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "string")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, written
+from .common import over_texts, trim, written
 
 SEED = 42
 #: Fingerprints of one key that one task compares at once.
@@ -157,6 +157,7 @@ def compare(max_bits: int):
             held.append(rows[cut:])
         if held:
             yield found(np.concatenate(held))
+        trim()
     return run
 
 

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, trim, written
 
 LENGTH = 50
 GRAM = 24
@@ -54,7 +54,7 @@ GRAM = 24
 RUN = 32
 #: Bytes of a block, distinct minimizers in a task, fragments in a task, and
 #: fragments of one minimizer from which on it is dealt by its strings.
-BLOCK, KEYS, FRAGMENTS, HOT = 8 << 20, 1 << 20, 1 << 13, 2048
+BLOCK, KEYS, FRAGMENTS, HOT = 6 << 20, 1 << 20, 1 << 13, 2048
 #: Start positions whose hashes are taken at once.
 SPAN = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -97,6 +97,7 @@ def pack(limit: int):
                 held.append(batch.slice(start))
         if held:
             yield close()
+        trim()
     return run
 
 
@@ -189,6 +190,7 @@ def key_rows(length: int, buckets: int):
                      pa.array([low[cuts[k]:cuts[k + 1]].tobytes() for k in own], pa.binary()),
                      pa.array([times[cuts[k]:cuts[k + 1]].tobytes() for k in own], pa.binary())],
                     names=["bucket", "block", "keys", "times"])
+        trim()
     return run
 
 
@@ -259,6 +261,7 @@ def entry_rows(length: int, buckets: int):
     smallest document of each distinct fragment, packed."""
     def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, codes: pa.Table) -> pa.Table:
         from xxhash import xxh64_intdigest
+        trim()
         out = [[], [], []]
         if blocks.num_rows:
             own = Block(blocks, list(zip(codes.column("bucket").to_pylist(), codes.column("codes").to_pylist())), length, buckets)
@@ -302,6 +305,7 @@ def fragment_rows(length: int, buckets: int, cells: int):
     among the answered bits (``body``)."""
     def run(key: tuple[pa.Scalar, ...], blocks: pa.Table, codes: pa.Table) -> pa.Table:
         names = ["block", "cell", "n", "body", "lengths", "docs"]
+        trim()
         out: dict[str, list] = {c: [] for c in names}
         block = key[0].as_py()
         if blocks.num_rows:
@@ -456,6 +460,7 @@ def answers(length: int):
     """One cell: for each block's fragments, one bit a string: a document
     smaller than the fragment's own smallest holds it."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        trim()
         number: dict[bytes, int] = {}
         entry, docs = [], np.frombuffer(b"".join(rows.column("docs").to_pylist()), np.int64)
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows.column("lengths").to_pylist()]
@@ -504,6 +509,7 @@ def removal(length: int, meta: pa.DataType, whole_characters: bool = False):
     kinds = [meta, pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
     def run(key, blocks: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         if not blocks.num_rows:
             return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
         raw = blocks.column("body")[0].as_py()

@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_groups
+from .common import byte_groups, trim
 
 MAGIC = b"DAC1"
 BITS = 8  # of a chunk
 EVERY = 512  # positions between entries of a rank directory
-#: Strings a worker remembers (it forgets them beyond) and words joined to one.
-REMEMBERED, JOINED = 1_000_000, 1_000
+#: Strings a worker remembers (beyond, those of the texts at hand) and words
+#: joined to one.
+REMEMBERED, JOINED = 400_000, 1_000
 #: Tokens after which a segment is closed.
 SEGMENT_TOKENS = 1 << 20
 #: Marks that stand apart when they follow a letter or digit.
@@ -148,7 +149,6 @@ class Ids:
         self.finishes = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.finishes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.bare: dict[str, bytes] = {"": b""}
         # a word must give the same ids alone and between others
         probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>"]
         self.apart = self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
@@ -157,10 +157,11 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        low = [w.lower() if w.isascii() else w for w in words]
+        known = self.known
+        low = [w.lower() if w.isascii() and not w.islower() else w for w in words]
         ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() else "" for w in low]
         stems = [w[:len(w) - len(e)] for w, e in zip(low, ends)]
-        new = list({*stems, *ends} - self.bare.keys())
+        new = list({*stems, *ends} - known.keys())
         letters = [w for w in new if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
         parts = [letters[i:i + JOINED] for i in range(0, len(letters), JOINED)]
         found = self.settled.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
@@ -170,13 +171,13 @@ class Ids:
             if len(at) == len(part) and at[-1] == len(ids):
                 raw, start = ids.tobytes(), 0
                 for w, end in zip(part, (4 * at).tolist()):
-                    self.bare[w] = raw[start:end]
+                    known[w] = raw[start:end]
                     start = end
-        rest = [w for w in new if w not in self.bare]
+        rest = [w for w in new if w not in known]
         for w, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.bare[w] = np.array(enc.ids, dtype="<u4").tobytes()
+            known[w] = np.array(enc.ids, dtype="<u4").tobytes()
         for w, s, e in zip(words, stems, ends):
-            self.known[w] = self.bare[s] + self.bare[e]
+            known[w] = known[s] + known[e]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
@@ -184,7 +185,8 @@ class Ids:
             return [self.encode(t) for t in texts]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known, self.bare = {"": b""}, {"": b""}
+            here = set().union(*cut)  # the common words are among these
+            self.known = {"": b""} | {w: self.known[w] for w in here if w in self.known}
         new = list(set().union(*cut) - self.known.keys()) if cut else []
         if new:
             self.learn(new)
@@ -227,6 +229,8 @@ def segments(tokenizer: str, end_id: int | None, segment_tokens: int = SEGMENT_T
                         yield close()
         if docs:
             yield close()
+        del encode, held
+        trim()
     return run
 
 

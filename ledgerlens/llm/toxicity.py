@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts
+from .common import over_texts, trim
 
 SIZES = (3, 4, 5, 6, 7)
 #: Bytes as the n-grams see them: A-Z lower-cased, other ASCII but a-z and
@@ -68,6 +68,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = at[i:i + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[1][own]), pa.array(counts[0][own])],
                                          names=["place", "pos", "neg"])
+    del counts, at
+    trim()
 
 
 class Model:
