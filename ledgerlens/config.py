@@ -84,7 +84,6 @@ PROFILE_NAMES = ["محافظه‌کار", "عادی", "پرتراکنش", "پر
 UNKNOWN_PROFILE = "نامشخص"
 
 # Identity graph.
-NODE_LABELS = ["Person", "Card", "Account", "Mobile", "IP", "Device", "NationalCode"]
 ENTITY_LABELS = ["Card", "Account", "Mobile", "IP", "Device", "NationalCode"]
 #   relation        target label     transaction column
 RELATIONS = [
@@ -96,7 +95,6 @@ RELATIONS = [
     ("IDENTIFIED_BY", "NationalCode",  "national_code"),
 ]
 PERSON_SUFFIX = "_person"
-OPEN_END = "9999-12-31 23:59:59"
 CLEANUP_DAYS = 30
 SHARED_MIN_CONFIDENCE = 0.5
 SHARED_LIMIT = 50
@@ -111,9 +109,7 @@ TIMELINE_LIMIT = 50
 # Dead-letter source tag and topics.
 DLQ_SOURCE = "bank_api"
 TOPIC_CLEAN = "aml.transactions.clean"
-TOPIC_DLQ = "aml.transactions.dlq"
 TOPIC_FEATURES = "aml.features"
-INGEST_BATCH = 500
 
 # Alert message texts (Persian), one template per rule; {name} marks a value.
 MESSAGES = {
@@ -131,9 +127,5 @@ MESSAGES = {
 # Engine parameters (ours)
 # ---------------------------------------------------------------------------
 
-# Upper bound on rows for an explicit broadcast of a caller-supplied table.
-BROADCAST_MAX_ROWS = 1_000_000
-# Salt buckets used to split hot groups in top-k and ordered operators.
-SALT_BUCKETS = 32
 # Width of time chunks (seconds) used to split hot keys in ordered operators.
 CHUNK_SECONDS = 60

@@ -10,11 +10,6 @@ def thousands(x: Column) -> Column:
     return F.format_number(x.cast("long"), 0)
 
 
-def round_half_even(x: Column, scale: int) -> Column:
-    """banker's rounding like Python ``round``."""
-    return F.bround(x, scale)
-
-
 def percent_text(ratio: Column) -> Column:
     """``{ratio*100:.0f}`` (half-even on the binary value)."""
     return F.bround(ratio * 100, 0).cast("long").cast("string")

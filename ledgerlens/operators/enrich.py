@@ -1,7 +1,7 @@
 """Enrichment joins: features, account type and limits, ML scores.
 
 Broadcast is used only for tables whose size is fixed (the 3-row limits
-table) or checked at run time (``checked_broadcast``); everything else is a
+table); everything else is a
 plain join, so Catalyst/AQE pick broadcast or sort-merge from statistics and
 split skewed partitions.
 """
@@ -30,14 +30,6 @@ FEATURE_DEFAULTS = {
 _SUFFIX = {"1 hour": "1h", "6 hours": "6h", "24 hours": "24h", "7 days": "7d"}
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (counted on a
-    bounded prefix, so the check itself is cheap); otherwise leave the join to
-    the planner (sort-merge with AQE skew handling)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def limits_table(spark) -> DataFrame:
     """The account-limits dimension (3 rows, fixed)."""
     return spark.createDataFrame(

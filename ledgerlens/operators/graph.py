@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
-from .enrich import checked_broadcast
 
 EDGE_KEY = ["rel_type", "from_label", "from_id", "to_label", "to_id"]
 OPEN_END_TEXT = "9999-12-31T23:59:59Z"
@@ -139,7 +138,7 @@ def identity_subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | Non
     An unknown person yields no row; a person without edges an empty list."""
     persons = nodes.filter(F.col("label") == "Person").select(F.col("id").alias("person_id"))
     if seeds is not None:
-        persons = persons.join(checked_broadcast(seeds.select("person_id").distinct()), "person_id", "left_semi")
+        persons = persons.join(seeds.select("person_id").distinct(), "person_id", "left_semi")
     e = _entity_edges(edges).select(
         F.col("from_id").alias("person_id"),
         F.struct(F.col("to_label").alias("type"), F.col("to_id").alias("id"),
@@ -168,7 +167,7 @@ def shared_entities(edges: DataFrame, seeds: DataFrame | None = None,
     e = (_entity_edges(edges).filter(F.col("confidence") >= min_confidence)
          .select(F.col("from_id").alias("person_id"), "to_label", "to_id", "confidence"))
     seed_edges = e if seeds is None else e.join(
-        checked_broadcast(seeds.select("person_id").distinct()), "person_id", "left_semi")
+        seeds.select("person_id").distinct(), "person_id", "left_semi")
     seed_edges = seed_edges.select(F.col("person_id"), "to_label", "to_id", F.col("confidence").alias("conf1"))
     per_entity = Window.partitionBy("to_label", "to_id").orderBy(F.col("confidence").desc(), F.col("person_id"))
     cand = (e.withColumn("_r", F.row_number().over(per_entity))

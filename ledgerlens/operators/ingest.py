@@ -259,11 +259,15 @@ def high_water_mark(clean: DataFrame, since: str | None = None) -> DataFrame:
     return clean.agg(m.alias("high_water_mark"))
 
 
-def incremental(clean: DataFrame, since: str | None = None, limit: int | None = config.INGEST_BATCH) -> DataFrame:
-    """The next batch after ``since`` in (time, id) order, at most ``limit`` rows.
-
-    The limit is the feature here (the bank API hands out pages of 500)."""
-    out = clean if since is None else clean.filter(F.col("timestamp_utc") > F.lit(since))
+def incremental(clean: DataFrame, since: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
+    """The rows after the cursor ``since`` = (timestamp_utc,
+    transaction_id) of the last row seen.  Many rows share a second, so the
+    time alone would lose those of a page's last second.  With ``limit`` the
+    first so many in this order: a page; walk on from its last row."""
+    out = clean
+    if since is not None:
+        time, tid = F.col("timestamp_utc"), F.col("transaction_id")
+        out = clean.filter((time > since[0]) | ((time == since[0]) & (tid > since[1])))
     if limit is not None:
         out = out.orderBy("timestamp_utc", "transaction_id").limit(limit)
     return out

@@ -182,9 +182,10 @@ class ReconstructionModel:
         return out.withColumn("recon_error", err).drop("features", "z", "pc")
 
     def fit_threshold(self, normal_df: DataFrame, percentile: float = config.AE_PERCENTILE,
-                      exact: bool = True) -> float:
-        """L5 + A11: threshold = percentile of normal errors (linear
-        interpolation when ``exact``; ``approx_percentile`` otherwise)."""
+                      exact: bool = False) -> float:
+        """L5 + A11: threshold = percentile of normal errors, from a
+        mergeable sketch of bounded size; ``exact`` keeps every distinct error
+        in one reducer and is for small inputs."""
         e = self.errors(normal_df)
         agg = (F.percentile("recon_error", percentile / 100.0) if exact
                else F.percentile_approx("recon_error", percentile / 100.0, 10000))

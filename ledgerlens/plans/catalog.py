@@ -6,20 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
+from . import q_core, q_graph, q_ml, q_monitor, q_stream
 
 
 def _all() -> dict:
-    from . import q_core
-    entries = dict(q_core.QUERIES)
-    for mod_name in ("q_graph", "q_monitor", "q_ml", "q_stream"):
-        try:
-            mod = __import__(f"{__package__}.{mod_name}", fromlist=["QUERIES"])
-        except ModuleNotFoundError as exc:  # module not written yet
-            if mod_name in str(exc):
-                continue
-            raise
-        entries.update(mod.QUERIES)
-    return entries
+    return {**q_core.QUERIES, **q_graph.QUERIES, **q_monitor.QUERIES, **q_ml.QUERIES, **q_stream.QUERIES}
 
 
 def _wrap(fn) -> Callable[[SparkSession, str], DataFrame]:

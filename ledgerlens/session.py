@@ -15,13 +15,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin settings the results depend on. Safe to call repeatedly."""
-    conf = spark.conf
+    """Set the session's time zone to UTC, which results depend on; every
+    other setting stays the caller's.  Safe to call repeatedly."""
     # hour(), window() alignment and text rendering all assume UTC.
-    conf.set("spark.sql.session.timeZone", "UTC")
-    conf.set("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
@@ -34,6 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -138,12 +138,16 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.to_json(F.struct(*cols)).alias("payload"))
 
 
+#: Changes whenever the normaliser does, so that no older table is read back.
+CLEAN_VERSION = "2"
+
+
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Identity of the source tables: path, sizes and modification times."""
+    """Identity of the normaliser and the source tables (path, sizes, times)."""
     import hashlib
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [sf_dir]
+    parts = [CLEAN_VERSION, sf_dir]
     for name in ("events", "customer"):
         p = jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
         fs = p.getFileSystem(conf)

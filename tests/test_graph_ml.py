@@ -14,10 +14,10 @@ TX_SCHEMA = ("transaction_id string, timestamp_utc string, amount_rial long, car
 
 @pytest.fixture(scope="module")
 def gtx(spark):
-    rows = [("TX-001", "2025-06-08T20:00:00Z", 5000000, "6037991234567890", "ACC-001", "1000000001",
-             "09121111111", "185.1.1.1", "fp-abc-hash", 1.0),
-            ("TX-002", "2025-06-08T20:00:00Z", 5000000, "6037991234567890", "ACC-001", "1000000001",
-             "09121111111", "192.168.1.1", "fp-abc-hash", 0.3)]
+    rows = [("P-1", "2025-03-02T05:45:30Z", 730000, "5022291111111118", "S-10", "0499370899",
+             "09351234567", "91.98.4.7", "dv-hash", 1.0),
+            ("P-2", "2025-03-02T05:45:30Z", 730000, "5022291111111118", "S-10", "0499370899",
+             "09351234567", "10.20.0.9", "dv-hash", 0.3)]
     return spark.createDataFrame(rows, TX_SCHEMA).withColumn("event_time", F.to_timestamp("timestamp_utc"))
 
 
@@ -29,14 +29,14 @@ def test_nodes_and_edges(gtx):
     assert {r.rel_type for r in e} == {"OWNS_CARD", "OWNS_ACCOUNT", "HAS_MOBILE", "USES_IP", "USES_DEVICE",
                                        "IDENTIFIED_BY"}
     ip = {r.to_id: r.confidence for r in e if r.rel_type == "USES_IP"}
-    assert ip == {"185.1.1.1": 1.0, "192.168.1.1": 0.3}
+    assert ip == {"91.98.4.7": 1.0, "10.20.0.9": 0.3}
 
 
 def test_merge_adds_amounts_once(gtx):
     n1, e1 = G.ingest_batch(None, None, gtx, person_key="national_code")
     n2, e2 = G.ingest_batch(n1, e1, gtx, person_key="national_code")
     card = [r for r in e2.collect() if r.rel_type == "OWNS_CARD"][0]
-    assert card.tx_count == 4 and card.total_amount == 20000000
+    assert card.tx_count == 4 and card.total_amount == 2920000
     assert n2.count() == n1.count()
 
 
@@ -48,9 +48,9 @@ def test_empty_delta_is_noop(spark, gtx):
 
 def test_subgraph_unknown_person(spark, gtx):
     nodes, edges = G.ingest_batch(None, None, gtx)
-    seeds = spark.createDataFrame([("nobody",), ("TX-001_person",)], "person_id string")
+    seeds = spark.createDataFrame([("nobody",), ("P-1_person",)], "person_id string")
     sg = G.identity_subgraph(nodes, edges, seeds).collect()
-    assert [r.person_id for r in sg] == ["TX-001_person"] and len(sg[0].entities) == 6
+    assert [r.person_id for r in sg] == ["P-1_person"] and len(sg[0].entities) == 6
 
 
 def test_shared_entities_confidence_and_limit(spark, gtx):
@@ -58,7 +58,7 @@ def test_shared_entities_confidence_and_limit(spark, gtx):
     s = G.shared_entities(edges).collect()
     # the NAT IP edge (0.3) never links persons; the other five entities do
     assert all(r.entity_type != "IP" for r in s)
-    assert len([r for r in s if r.person_id == "TX-001_person"]) == 5
+    assert len([r for r in s if r.person_id == "P-1_person"]) == 5
 
 
 def test_shared_entities_matches_all_pairs(spark):
