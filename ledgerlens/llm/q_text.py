@@ -72,9 +72,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all texts, written and read back."""
     path = scratch(spark, "token-files")
     token_files.write(texts(spark, sf_dir), path, vocabulary(WORDS), END_ID)
-    return token_files.read(spark, path).select(
-        "doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"),
-        token_files.crc32_udf()(F.col("ids")).alias("ids_crc32"))
+    return token_files.read(spark, path, token_files.crc32).withColumnRenamed("digest", "ids_crc32")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,9 +22,11 @@ gives files without segments and reads back empty.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_groups, trim
+from .common import byte_groups, lists, trim
 
 MAGIC = b"DAC1"
 BITS = 8  # of a chunk
 EVERY = 512  # positions between entries of a rank directory
-#: Strings a worker remembers (beyond, those of the texts at hand) and words
-#: joined to one.
-REMEMBERED, JOINED = 400_000, 1_000
+#: Strings a worker remembers from task to task (beyond, those of the texts at
+#: hand), words joined to one, and characters of a long text taken at once.
+REMEMBERED, JOINED, LONG = 400_000, 1_000, 1 << 20
 #: Tokens after which a segment is closed.
 SEGMENT_TOKENS = 1 << 20
 #: Marks that stand apart when they follow a letter or digit.
@@ -141,17 +143,21 @@ class Ids:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.settled = Tokenizer.from_file(path)  # for words that the normaliser leaves as they are
-        self.settled.normalizer = None
+        self.settled = Tokenizer(self.tokenizer.model)  # for words that the normaliser leaves as they are
+        self.settled.pre_tokenizer = self.tokenizer.pre_tokenizer
+        self.plain = Tokenizer(self.tokenizer.model)  # for those of ASCII letters, which stay whole and as they are
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         pieces = self.tokenizer.get_vocab()
         self.finishes = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.finishes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         # a word must give the same ids alone and between others
         probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>"]
-        self.apart = self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
+        self.apart = (self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
+                      and self.encode("azAZ naive") == self.encode("azaz naive")
+                      and self.plain.encode("azaz naive").ids == self.tokenizer.encode("azaz naive", add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -162,10 +168,21 @@ class Ids:
         ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() else "" for w in low]
         stems = [w[:len(w) - len(e)] for w, e in zip(low, ends)]
         new = list({*stems, *ends} - known.keys())
-        letters = [w for w in new if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
-        parts = [letters[i:i + JOINED] for i in range(0, len(letters), JOINED)]
-        found = self.settled.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
-        for part, enc in zip(parts, found):
+        letters = [w for w in new if w.isalpha()]
+        self.together(self.plain, [w for w in letters if w.isascii()])
+        self.together(self.settled, [w for w in letters if not w.isascii() and w == w.lower() and is_normalized("NFC", w)])
+        rest = [w for w in new if w not in known]
+        for w, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(enc.ids, dtype="<u4").tobytes()
+        for w, s, e in zip(words, stems, ends):
+            known[w] = known[s] + known[e]
+
+    def together(self, tokenizer, words: list[str]) -> None:
+        """Words of letters as a few long strings: the pieces that finish a
+        word tell them apart."""
+        known = self.known
+        parts = [words[i:i + JOINED] for i in range(0, len(words), JOINED)]
+        for part, enc in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(enc.ids, dtype="<u4")
             at = np.flatnonzero(self.finishes[ids]) + 1
             if len(at) == len(part) and at[-1] == len(ids):
@@ -173,16 +190,13 @@ class Ids:
                 for w, end in zip(part, (4 * at).tolist()):
                     known[w] = raw[start:end]
                     start = end
-        rest = [w for w in new if w not in known]
-        for w, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(enc.ids, dtype="<u4").tobytes()
-        for w, s, e in zip(words, stems, ends):
-            known[w] = known[s] + known[e]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         if not self.apart:
             return [self.encode(t) for t in texts]
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            return [b"".join([self([part])[0] for part in stretches(texts[0])])]
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             here = set().union(*cut)  # the common words are among these
@@ -194,6 +208,19 @@ class Ids:
         return [b"".join(map(get, units)) for units in cut]
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A long text cut at white space, which no piece spans."""
+    white, start = re.compile("[ \n]"), 0
+    while (found := white.search(text, start + LONG)) is not None:
+        yield text[start:found.start()]
+        start = found.end()
+    yield text[start:]
+
+
+#: One encoder a worker, so its tasks share the words it remembers.
+encoder = lru_cache(maxsize=1)(Ids)
+
+
 def segments(tokenizer: str, end_id: int | None, segment_tokens: int = SEGMENT_TOKENS):
     """Body of the writing tasks: sorted (id, text) batches to segment rows."""
     tail = b"" if end_id is None else struct.pack("<I", end_id)
@@ -201,7 +228,7 @@ def segments(tokenizer: str, end_id: int | None, segment_tokens: int = SEGMENT_T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encode = Ids(tokenizer)
+        encode = encoder(tokenizer)
         docs: list = []
         held: list[bytes] = []
         size = seg = before = 0
@@ -229,7 +256,7 @@ def segments(tokenizer: str, end_id: int | None, segment_tokens: int = SEGMENT_T
                         yield close()
         if docs:
             yield close()
-        del encode, held
+        del held
         trim()
     return run
 
@@ -254,8 +281,10 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return held.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("before"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): every document's ids, addressed in its segment."""
+def read(spark: SparkSession, path: str, digest: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, start, ids): every document's ids, addressed in its segment.
+    With ``digest``, a number made of a document's ids, (doc_id, start,
+    n_tokens, digest): the ids then need not leave the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, docs, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -264,21 +293,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for lo in range(0, len(docs), 256):
                     hi = min(len(docs), lo + 256)
                     parts = [codes.document(k) for k in range(lo, hi)]
-                    offsets = np.zeros(hi - lo + 1, dtype=np.int32)
-                    np.cumsum([len(p) for p in parts], out=offsets[1:])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[lo:hi], pa.int64()), pa.array([start + x for x in at[lo:hi]], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int32)))],
-                        names=["doc_id", "start", "ids"])
-    return places(spark, path).select("start", "doc_ids", "blob").mapInArrow(
-        run, "doc_id bigint, start bigint, ids array<int>")
-
-
-def crc32_udf():
-    """Arrow function array<int> -> CRC-32 of the ids as little-endian words."""
-    def run(ids: pa.Array) -> pa.Array:
-        flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<i4")
-        at = ids.offsets.to_pylist()
-        raw = memoryview(flat).cast("B")
-        return pa.array([zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at, at[1:])], pa.int64())
-    return F.arrow_udf(run, "bigint")
+                    lengths = [len(p) for p in parts]
+                    if digest is None:
+                        found = {"ids": lists(np.concatenate(parts).astype(np.int32), lengths, pa.int32())}
+                    else:
+                        found = {"n_tokens": pa.array(lengths, pa.int64()),
+                                 "digest": pa.array([digest(p) for p in parts], pa.int64())}
+                    yield pa.RecordBatch.from_pydict(
+                        {"doc_id": pa.array(docs[lo:hi], pa.int64()),
+                         "start": pa.array([start + x for x in at[lo:hi]], pa.int64())} | found)
+        trim()
+    out = "ids array<int>" if digest is None else "n_tokens bigint, digest bigint"
+    return places(spark, path).select("start", "doc_ids", "blob").mapInArrow(run, f"doc_id bigint, start bigint, {out}")
+
+
+def crc32(ids: np.ndarray) -> int:
+    """CRC-32 of ids as little-endian words."""
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))

@@ -69,6 +69,16 @@ def test_token_ids_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_token_ids_of_long_texts_and_a_full_memory(monkeypatch):
+    path = vocabulary(q_text.WORDS)
+    text = " ".join(x for x in scraps(300) if x)
+    whole = token_files.Ids(path)([text])
+    monkeypatch.setattr(token_files, "LONG", 97)
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    assert token_files.Ids(path)([text]) == whole
+    assert "".join(token_files.stretches("x" * 500)) == "x" * 500
+
+
 @pytest.mark.parametrize("top", [1, 200, 256, 49408, 1 << 24, 1 << 32])
 def test_codes_give_any_position(top):
     rng = np.random.default_rng(top % 97)
@@ -93,8 +103,8 @@ def test_token_files_round_trip(spark):
         assert (r.doc_id, r.start, r.ids) == (doc, start, lib.encode(text, add_special_tokens=False).ids + [2])
         start += len(r.ids)
     assert len(got) == len(want)
-    crc = token_files.read(spark, folder).select("ids", token_files.crc32_udf()(F.col("ids")).alias("c")).first()
-    assert crc.c == zlib.crc32(np.array(crc.ids, "<u4").tobytes())
+    digests = {r.start: (r.doc_id, r.n_tokens, r.digest) for r in token_files.read(spark, folder, token_files.crc32).collect()}
+    assert digests == {r.start: (r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
     empty = scratch(spark, "token-files")
     token_files.write(df.limit(0), empty, path)
     assert token_files.read(spark, empty).count() == 0
