@@ -196,7 +196,10 @@ class Ids:
         if not self.apart:
             return [self.encode(t) for t in texts]
         if len(texts) == 1 and len(texts[0]) > LONG:
-            return [b"".join([self([part])[0] for part in stretches(texts[0])])]
+            return [b"".join([self.of_words([part])[0] for part in stretches(texts[0])])]
+        return self.of_words(texts)
+
+    def of_words(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             here = set().union(*cut)  # the common words are among these
