@@ -220,8 +220,10 @@ def stretches(text: str) -> Iterator[str]:
     yield text[start:]
 
 
-#: One encoder a worker, so its tasks share the words it remembers.
-encoder = lru_cache(maxsize=1)(Ids)
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Ids:
+    """One encoder a worker, so its tasks share the words it remembers."""
+    return Ids(path)
 
 
 def segments(tokenizer: str, end_id: int | None, segment_tokens: int = SEGMENT_TOKENS):
