@@ -23,16 +23,40 @@ _LAYOUTS = [
     ("yyyy-M-d H:m:s", False),
     ("d/M/yyyy H:m:s", False),
 ]
-# ISO-8601 tail: fractional seconds, optional offset or Z, date only.
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+# ISO-8601 tail: basic or extended date, week date, basic or extended time down
+# to hours alone, fraction after a point or comma, optional offset or Z.
+_ISO = (r"^(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(-[1-7])?|\d{4}W\d{2}[1-7]?)"
+        r"([T ](\d{2}|\d{2}:\d{2}(:\d{2}([.,]\d+)?)?|\d{4}(\d{2}([.,]\d+)?)?))?(Z|[+-]\d{2}(:?\d{2})?)?$")
 _ISO_ZONED = r"(Z|[+-]\d{2}(:?\d{2})?)$"
-_ISO_TIME = r"[T ]\d{2}:\d{2}"
+_ISO_TIME = r"[T ]\d{2}"
+_ISO_WEEK = r"^(\d{4})-?W(\d{2})-?([1-7]?)(.*)$"
+# rewrites to the one form that the cast reads, in this order
+_ISO_REWRITES = [
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"[T ](\d{2})(\d{2})(\d{2})", "T$1:$2:$3"),
+    (r"[T ](\d{2})(\d{2})(?!\d)", "T$1:$2"),
+    (r"[T ](\d{2})(?![\d:])", "T$1:00"),
+    (r"[T ](\d{2}:\d{2})(?!:)", "T$1:00"),
+    (r"[.,](\d{1,6})\d*", ".$1"),
+    (r"([+-]\d{2})(\d{2})$", "$1:$2"),
+]
 
 
 def _try(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt))
 
 
+def _week_date(s: Column) -> Column:
+    """ISO week date (Monday if no day is given) as a calendar date, with the
+    rest of the text; NULL if the year has no such week."""
+    year, week, day = (F.regexp_extract(s, _ISO_WEEK, i).try_cast("int") for i in (1, 2, 3))
+    first = F.date_trunc("week", F.to_date(F.concat(F.regexp_extract(s, _ISO_WEEK, 1), F.lit("-01-04")))).cast("date")
+    monday = F.date_add(first, (week - 1) * 7)
+    date = F.date_add(monday, F.coalesce(day, F.lit(1)) - 1)
+    there = (week >= 1) & (F.year(F.date_add(monday, 3)) == year)
+    return F.when(there, F.concat(date.cast("string"), F.regexp_extract(s, _ISO_WEEK, 4)))
+
+
 def parse_event_time(text: Column, local_tz: str = config.LOCAL_TZ, z_suffix: str = "local",
                      stripped: bool = False) -> Column:
     """F3 + F4: UTC instant as TimestampType, NULL when no layout parses.
@@ -46,10 +70,12 @@ def parse_event_time(text: Column, local_tz: str = config.LOCAL_TZ, z_suffix: st
             fmt = fmt.replace("'Z'", "X")
         ts = _try(s, fmt)
         candidates.append(ts if has_offset else F.to_utc_timestamp(ts, local_tz))
-    # ISO fallback; Spark's cast wants "+03:30" rather than "+0330".
     iso_ok = s.rlike(_ISO)
+    plain = F.when(s.rlike(_ISO_WEEK), _week_date(s)).otherwise(s)
+    for pattern, form in _ISO_REWRITES:
+        plain = F.regexp_replace(plain, pattern, form)
     zoned = s.rlike(_ISO_TIME) & s.rlike(_ISO_ZONED)
-    iso_ts = F.try_to_timestamp(F.when(iso_ok, F.regexp_replace(s, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    iso_ts = F.try_to_timestamp(F.when(iso_ok, plain))
     candidates.append(F.when(zoned, iso_ts).otherwise(F.to_utc_timestamp(iso_ts, local_tz)))
     return F.coalesce(*candidates)
 

@@ -150,8 +150,7 @@ def start_graph_upkeep(tx_stream: DataFrame, graph_path: str, checkpoint: str,
     amounts and counts are never added twice."""
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        prev = os.path.join(graph_path, f"v={batch_id:08d}")
-        if _exists(spark, prev):
+        if has_previous(spark, graph_path, batch_id):
             nodes, edges = G.read_graph(spark, graph_path, batch_id)
         else:
             nodes, edges = None, None
@@ -162,6 +161,19 @@ def start_graph_upkeep(tx_stream: DataFrame, graph_path: str, checkpoint: str,
             .foreachBatch(write).start())
 
 
+def has_previous(spark: SparkSession, graph_path: str, batch_id: int) -> bool:
+    """Whether the graph before this batch is there.  Only batch 0 may start
+    from nothing, and not where later versions stand (version 1 may be its own,
+    of a run that was cut off)."""
+    if _exists(spark, os.path.join(graph_path, f"v={batch_id:08d}")):
+        return True
+    if batch_id > 0:
+        raise FileNotFoundError(f"{graph_path} lacks version {batch_id}, which batch {batch_id} builds on")
+    if _exists(spark, os.path.join(graph_path, "v=00000002")):
+        raise FileExistsError(f"{graph_path} holds a graph of another checkpoint")
+    return False
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,7 @@
 """Ingestion fixtures (validation, normalisation, dead letters)."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import ingest as IN
@@ -98,3 +99,32 @@ def test_pages_lose_no_row_of_a_second(spark):
         cursor = (page[-1].timestamp_utc, page[-1].transaction_id)
     assert seen == [t for t, _ in rows]
     assert IN.incremental(df).count() == 100
+
+
+def test_iso_forms(spark):
+    from datetime import datetime, timedelta
+
+    from ledgerlens.functions import parse_event_time
+    forms = ["20250608T223000", "2025-06-08T22", "20250608", "2025-W23-7", "2025W237T0815", "2025-W01", "2020-W53-5",
+             "2025-06-08T22:30:00,25", "2025-06-08T22:30:00.123456789", "20250608T2230+0330", "2025-06-08T223005.5Z",
+             "2025-06-08T22:30:00.5+03:30", "2025-06-08 22:30"]
+    bad = ["2025-W54-1", "2025-W00-1", "2025-W53-1", "2025-W23-8", "20251308", "2025-06-08T2", "2025-06-08T22:3", "x"]
+    df = spark.createDataFrame([(t,) for t in forms + bad], "t string")
+    got = {r.t: r.u for r in df.select("t", parse_event_time(F.col("t")).cast("string").alias("u")).collect()}
+    for t in forms:
+        want = datetime.fromisoformat(t)
+        want = want.replace(tzinfo=None) - (want.utcoffset() if want.tzinfo else timedelta(hours=3, minutes=30))
+        assert datetime.fromisoformat(got[t]) == want, t
+    assert all(got[t] is None for t in bad)
+
+
+def test_graph_upkeep_refuses_a_lost_version(spark, tmp_path):
+    from ledgerlens.streaming.pipelines import has_previous
+    path = str(tmp_path)
+    assert not has_previous(spark, path, 0)
+    with pytest.raises(FileNotFoundError):
+        has_previous(spark, path, 3)
+    (tmp_path / "v=00000002").mkdir()
+    assert has_previous(spark, path, 2)
+    with pytest.raises(FileExistsError):
+        has_previous(spark, path, 0)
