@@ -149,12 +149,14 @@ class Ids:
         self.settled.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.plain = Tokenizer(self.tokenizer.model)  # for those of ASCII letters, which stay whole and as they are
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # strings that the library finds in the raw text, before it folds case
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         pieces = self.tokenizer.get_vocab()
         self.finishes = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.finishes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         # a word must give the same ids alone and between others
-        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>"]
+        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b."]
         self.apart = (self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
                       and self.encode("azAZ naive") == self.encode("azaz naive")
                       and self.plain.encode("azaz naive").ids == self.tokenizer.encode("azaz naive", add_special_tokens=False).ids)
@@ -164,7 +166,7 @@ class Ids:
 
     def learn(self, words: list[str]) -> None:
         known = self.known
-        low = [w.lower() if w.isascii() and not w.islower() else w for w in words]
+        low = [self.folded(w) if w.isascii() and not w.islower() else w for w in words]
         ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() else "" for w in low]
         stems = [w[:len(w) - len(e)] for w, e in zip(low, ends)]
         new = list({*stems, *ends} - known.keys())
@@ -177,6 +179,12 @@ class Ids:
         for w, s, e in zip(words, stems, ends):
             known[w] = known[s] + known[e]
 
+    def folded(self, word: str) -> str:
+        """An ASCII word in lower case; one that holds an added token, in any
+        case, stays as it is."""
+        low = word.lower()
+        return word if any(t in low for t in self.added) else low
+
     def together(self, tokenizer, words: list[str]) -> None:
         """Words of letters as a few long strings: the pieces that finish a
         word tell them apart."""

@@ -69,6 +69,19 @@ def test_token_ids_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_token_ids_of_special_strings_in_any_case():
+    from tokenizers import Tokenizer
+    path = vocabulary(q_text.WORDS)
+    lib = Tokenizer.from_file(path)
+    own = [*SCRAPS, "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|STARTOFTEXT|>", "DON'T"]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(own, k=rng.randint(0, 12))) for _ in range(1500)] + own + ["A<|EndOfText|>B.", "<|endoftext|>X"]
+    encode = token_files.Ids(path)
+    assert encode.apart
+    for text, raw in zip(texts, encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_token_ids_of_long_texts_and_a_full_memory(monkeypatch):
     path = vocabulary(q_text.WORDS)
     text = " ".join(x for x in scraps(300) if x)
