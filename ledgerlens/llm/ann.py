@@ -14,9 +14,11 @@ by hash of the id, and its queries go to every block.
 Cases: vectors that are null, zero, or hold null or non-finite components, and
 rows with a null id, take no part; vectors of another length than the query's
 are no candidates (each length is hashed apart); equal scores go to the
-smaller id; rows that repeat an id count once (their best score); a query with
-fewer candidates gets them all if the tables lead to them; without queries or
-candidates there are no rows.
+smaller id; rows that repeat an id count once (their best score); a query that
+the tables lead to fewer than ``nearest`` vectors is compared exactly, in
+blocks, with all vectors of its length, so it gets ``nearest`` rows or, if
+there are fewer candidates, all of them; without queries or candidates there
+are no rows.
 """
 from __future__ import annotations
 
@@ -27,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 TABLES, PROBES, NEAREST, BLOCK, SEED = 8, 16, 5, 4096, 17
 
 
@@ -91,7 +95,18 @@ def hashed(tables: int, probes: int):
     return run
 
 
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) to (len, id, vec)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2048):
+            for ids, x in unit_rows(batch.slice(lo, 2048)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), x.shape[1], np.int32)), pa.array(ids, pa.int64()),
+                     pa.array([r.tobytes() for r in x], pa.binary())], names=["len", "id", "vec"])
+
+
 HASHED = "len int, tab int, bucket int, id bigint, vec binary"
+UNITS = "len int, id bigint, vec binary"
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -146,7 +161,35 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, table
     cell = [*place, "block"]
     found = (dealt.select(*cell, "id", "vec").groupBy(*cell)
              .cogroup(asked.select(*cell, "id", "vec").groupBy(*cell)).applyInArrow(compare(nearest), FOUND))
+    best = written(ranked(found, nearest), "neighbours")
+    enough = best.where(F.col("rank") == nearest).select(F.col("query_id").alias("id"))
+    short = written(named(queries).mapInArrow(units, UNITS).join(enough, "id", "left_anti").select("len", "id", "vec"),
+                    "short-queries")
+    if short.isEmpty():
+        return best
+    exact = compared(named(vectors).mapInArrow(units, UNITS), short, nearest, block)
+    return ranked(best.select("query_id", "vec_id", "score").unionByName(exact), nearest)
+
+
+def ranked(found: DataFrame, nearest: int) -> DataFrame:
+    """Each query's ``nearest`` best of the pairs found, each pair once."""
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select(
         "query_id", "rank", "vec_id", "score")
+
+
+def compared(vectors: DataFrame, queries: DataFrame, nearest: int, block: int) -> DataFrame:
+    """Best of all vectors of its length for each query: every block of
+    vectors meets every block of queries."""
+    def parts(df, name):  # one number for each length
+        return df.groupBy("len").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    def dealt(df, own, other):
+        place = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int")
+        return (df.join(F.broadcast(many), "len").withColumn(own, place)
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).select(*cell, "id", "vec").groupBy(*cell))
+
+    cell = ["len", "block", "asked"]
+    many = parts(vectors, "blocks").join(parts(queries, "askeds"), "len")
+    return dealt(vectors, "block", "asked").cogroup(dealt(queries, "asked", "block")).applyInArrow(compare(nearest), FOUND)
