@@ -9,12 +9,13 @@ word.  Texts are read once, in place, in Arrow batches; most positions are
 skipped.
 
 The item table is the stated search set.  It goes to the tasks in slices of at
-most ``SLICE_BYTES`` of text, by hash of the item, one pass over the documents
+most ``SLICE_BYTES`` of text, by hash of its id and text, one pass over the documents
 for each slice; results of a document are joined in its row, never shuffled.
 
 Cases: null texts and texts without words have no words and no hits; null item
-texts and items without words occur nowhere; repeated items count each id
-once; overlapping occurrences cover a word once; an empty table on either side
+texts and items without words occur nowhere; items with a null id are searched
+like others, and only their id is left out of ``items``; repeated items count
+each id once; overlapping occurrences cover a word once; an empty table on either side
 gives rows without hits or no rows.
 """
 from __future__ import annotations
@@ -73,7 +74,7 @@ class Patterns:
 class Searcher:
     """All patterns of a slice of items, one table for each pattern length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         by_length: dict = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             own = words(text)
@@ -89,6 +90,7 @@ class Searcher:
             for start, found in table.search(text):
                 spans.append((start, start + table.length))
                 items.update(found)
+        items.discard(None)
         return merged(spans), items
 
 
@@ -133,7 +135,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slice_bytes: i
     struct of its other columns, spans are covered word ranges, items the
     sorted ids (as strings) of test items that occur."""
     named = items.select(F.col(f"`{item_id}`").cast("string").alias("item"),
-                         F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
+                         F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null")
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = int(total // slice_bytes) + 1
     key = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
@@ -143,7 +145,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slice_bytes: i
                       F.lit(None).cast("array<string>").alias("items"))
     schema = out.schema
     for k in range(slices):
-        part = named.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k) if slices > 1 else named
+        part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else named
         searcher = Searcher([(r.item, r.text) for r in part.collect()], window)
         out = out.mapInArrow(pass_over(searcher, None), schema)
     return out

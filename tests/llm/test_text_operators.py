@@ -151,6 +151,16 @@ def test_decontamination_equals_brute_force(spark, slice_bytes):
     assert decontaminate.find(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 20])
+def test_benchmark_items_without_an_id_are_searched(spark, slice_bytes):
+    passage = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, passage), (None, "lone"), (4, "other words"), (None, None)], "item_id int, text string")
+    df = spark.createDataFrame([(1, f"a {passage} b"), (2, "a lone word and other words"), (3, "nothing")], "doc_id bigint, text string")
+    got = {r.key.doc_id: (sum(s.end - s.start for s in r.spans), r["items"])
+           for r in decontaminate.find(df, bench, slice_bytes=slice_bytes).collect()}
+    assert got == {1: (12, []), 2: (3, ["4"]), 3: (0, [])}
+
+
 def brute_removed(docs, length):
     first = {}
     for d, b in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
