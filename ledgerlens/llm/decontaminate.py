@@ -8,9 +8,13 @@ pattern leads to the bucket of those patterns, which are compared word by
 word.  Texts are read once, in place, in Arrow batches; most positions are
 skipped.
 
-The item table is the stated search set.  It goes to the tasks in slices of at
-most ``SLICE_BYTES`` of text, by hash of its id and text, one pass over the documents
-for each slice; results of a document are joined in its row, never shuffled.
+The item table is the stated search set.  It goes to the tasks in slices of
+about ``SLICE_BYTES`` of text (one item is never cut), by hash of its id and
+text, one pass over the documents for each slice; results of a document are
+joined in its row, never shuffled.  A slice's rows are broadcast and every
+worker builds its searcher of them.  Each pass but the last writes the
+documents with its finds to the shared folder, so the driver and a worker hold
+one slice at a time; disk grows by the documents with every further pass.
 
 Cases: null texts and texts without words have no words and no hits; null item
 texts and items without words occur nowhere; items with a null id are searched
@@ -25,14 +29,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed value: what a word is, in UTF-8 bytes after lower-casing A-Z.
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 WINDOW = 10
-#: Bytes of item texts that are searched in one pass.
-SLICE_BYTES = 32 << 20
+#: Bytes of item texts that are searched in one pass; a searcher takes about a
+#: hundred times as much memory.
+SLICE_BYTES = 4 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -107,9 +115,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def pass_over(searcher: Searcher, key_type: pa.DataType, text_at: int = 1):
+#: The slice a worker has at hand and its searcher.
+_at_hand: dict = {}
+
+
+def searcher_of(rows: Broadcast, window: int) -> Searcher:
+    """One searcher a worker, so its tasks share it; that of an earlier slice
+    goes first."""
+    if _at_hand.get("rows") is not rows or _at_hand["window"] != window:
+        _at_hand.clear()
+        _at_hand.update(searcher=Searcher(rows.value, window), rows=rows, window=window)
+    return _at_hand["searcher"]
+
+
+def pass_over(rows: Broadcast, window: int, text_at: int = 1):
     """One pass: rows (key, text, n_words, spans, items) with a slice's finds added."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = searcher_of(rows, window)
         for batch in batches:
             counts, spans, items = [], [], []
             texts = batch.column(text_at)
@@ -146,6 +168,9 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slice_bytes: i
     schema = out.schema
     for k in range(slices):
         part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k) if slices > 1 else named
-        searcher = Searcher([(r.item, r.text) for r in part.collect()], window)
-        out = out.mapInArrow(pass_over(searcher, None), schema)
+        rows = docs.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
+        out = out.mapInArrow(pass_over(rows, window), schema)
+        if k < slices - 1:
+            out = written(out, "searched")
+            rows.destroy()
     return out

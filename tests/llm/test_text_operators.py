@@ -161,6 +161,16 @@ def test_benchmark_items_without_an_id_are_searched(spark, slice_bytes):
     assert got == {1: (12, []), 2: (3, ["4"]), 3: (0, [])}
 
 
+def test_searchers_are_built_in_the_tasks_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "Searcher", None)  # of the driver
+    items = [(i, f"item number x{i} of many") for i in range(12)]
+    df = frame(spark, ["an item number x3 of many, item number x7 of many", "item number", ""])
+    found = decontaminate.find(df, spark.createDataFrame(items, "item_id int, text string"), slice_bytes=100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for r in found.collect():
+        assert (r.n_words, sum(s.end - s.start for s in r.spans), r["items"]) == brute_hits(r.text, items)
+
+
 def brute_removed(docs, length):
     first = {}
     for d, b in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
