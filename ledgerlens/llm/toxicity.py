@@ -9,8 +9,9 @@ on their ratios.  A score is the logistic of the weighted sum over the places
 present in the whole text.
 
 Fitting uses at most ``max_rows`` labelled rows, those with the smallest hash
-of their id; scoring reads every text, with a table of a bounded number of
-weights in the tasks.
+of their id, and of rows that repeat an id one, that of the smallest text;
+scoring reads every text, with a table of a bounded number of weights in the
+tasks.
 
 Cases: null and empty texts get the intercept's score; unlabelled rows and
 null labels are not learned from; of an id labelled twice the larger label
@@ -128,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_places
            .where("key is not null and toxic is not null").groupBy("key").agg(F.max("toxic").alias("toxic")))
     chosen = own.orderBy(F.xxhash64("key"), "key").limit(max_rows)  # at most max_rows small rows: broadcast
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "key").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    joined = texts.join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = joined.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     counts = rows.mapInArrow(counted, "place int, pos int, neg int").groupBy("place").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     sums = rows.agg(F.sum("toxic"), F.count("*")).first()

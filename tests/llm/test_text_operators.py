@@ -279,6 +279,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_is_fitted_on_one_row_of_an_id(spark, monkeypatch):
+    fitted = []
+    logistic = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda rows, *more: fitted.append(len(rows)) or logistic(rows, *more))
+    rows = [(i, f"a text with {'grobble' if i % 2 else 'nothing'} in it {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows + [(3, f"z {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, max_rows=20)
+    assert fitted == [20]
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, max_rows=20)
+    assert model.kept.tolist() == once.kept.tolist() and model.score("grobble") == once.score("grobble")
+
+
 def test_queries_over_tables(spark):
     """Digests of the registered queries against the libraries."""
     from sentencepiece import SentencePieceProcessor
