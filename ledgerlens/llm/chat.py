@@ -15,7 +15,8 @@ conversation is never gathered.
 
 Cases: calls without a result have none (null) and are marked; of several
 results the one of the smallest turn (then text) counts; results without a
-call are left out; a parent that is not a call of the conversation is ignored;
+call and further results of a call are rows of ``unlinked``, each with its
+error; a parent that is not a call of the conversation is ignored;
 calls on a cycle, or behind one, have no level and are marked; arguments that
 are null or no JSON object are errors, with canonical text null; null call
 ids are no calls; calls with the same id in a conversation: the one of the
@@ -103,3 +104,21 @@ def link(messages: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
                       .cast("struct<arguments:variant,id:string,name:string,result:string>"), {"ignoreNullFields": "false"})
     return linked.select("conv_id", "turn", "call_id", "tool", "topo_level", "arguments", "errors", "result_turn", "result",
                          whole.alias("call_json"))
+
+
+def unlinked(messages: DataFrame) -> DataFrame:
+    """The tool rows that no row of ``link`` holds: conv_id, turn, result_id,
+    text, error (no call id, unknown call, further result); repeated rows are
+    rows of their own."""
+    calls = messages.where("role = 'assistant' and call_id is not null and conv_id is not null").select(
+        "conv_id", F.col("call_id").alias("result_id"), F.lit(True).alias("called")).distinct()
+    place = ["conv_id", "result_id"]
+    results = messages.where("role = 'tool'").groupBy(*place, "turn", "text").agg(F.count("*").cast("int").alias("n"))
+    first = results.groupBy(*place).agg(F.min(F.struct("turn", "text")).alias("first"))
+    joined = results.join(first, place, "left").join(calls, place, "left")
+    used = F.col("called").isNotNull() & F.struct("turn", "text").eqNullSafe(F.col("first"))
+    error = (F.when(F.col("result_id").isNull(), "no call id").when(F.col("called").isNull(), "unknown call")
+             .otherwise("further result"))
+    return joined.select(*place, "turn", "text", error.alias("error"),
+                         F.explode(F.array_repeat(F.lit(0), F.col("n") - used.cast("int")))).select(
+        "conv_id", "turn", "result_id", "text", "error")

@@ -57,6 +57,20 @@ def test_chat_links_orders_and_checks(spark):
     assert chat.link(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_chat_keeps_results_that_no_call_holds(spark):
+    df = messages(spark, [
+        (1, 1, "assistant", "x", "a", "add", '{"a":1}', []), (1, 2, "tool", "used", None, None, None, None, "a"),
+        (1, 2, "tool", "used", None, None, None, None, "a"), (1, 3, "tool", "second", None, None, None, None, "a"),
+        (1, 4, "tool", "nobody's", None, None, None, None, "zzz"), (1, 5, "tool", None, None, None, None, None, None),
+        (2, 1, "tool", "of another", None, None, None, None, "a"), (None, 1, "tool", "lost", None, None, None, None, "a")])
+    got = sorted(map(tuple, chat.unlinked(df).collect()), key=repr)
+    assert got == sorted([
+        (1, 2, "a", "used", "further result"), (1, 3, "a", "second", "further result"), (1, 4, "zzz", "nobody's", "unknown call"),
+        (1, 5, None, None, "no call id"), (2, 1, "a", "of another", "unknown call"), (None, 1, "a", "lost", "unknown call")], key=repr)
+    assert [r.result for r in chat.link(df, SCHEMAS).collect()] == ["used"]
+    assert chat.unlinked(df.limit(0)).count() == 0
+
+
 def brute_nearest(rows, queries, k):
     x = {i: np.array(v, float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     out = {}
