@@ -263,13 +263,16 @@ def incremental(clean: DataFrame, since: tuple[str, str] | None = None, limit: i
     """The rows after the cursor ``since`` = (timestamp_utc,
     transaction_id) of the last row seen.  Many rows share a second, so the
     time alone would lose those of a page's last second.  With ``limit`` the
-    first so many in this order: a page; walk on from its last row."""
+    first so many in this order and all rows that tie with the last of them,
+    as ids may be delivered again: a page; walk on from its last row."""
     out = clean
     if since is not None:
         time, tid = F.col("timestamp_utc"), F.col("transaction_id")
         out = clean.filter((time > since[0]) | ((time == since[0]) & (tid > since[1])))
     if limit is not None:
-        out = out.orderBy("timestamp_utc", "transaction_id").limit(limit)
+        order = ["timestamp_utc", "transaction_id"]
+        last = out.select(F.struct(*order).alias("last")).orderBy("last").limit(limit).agg(F.max("last").alias("last"))
+        out = out.join(F.broadcast(last), F.struct(*order) <= F.col("last")).drop("last").orderBy(*order)
     return out
 
 

@@ -101,6 +101,20 @@ def test_pages_lose_no_row_of_a_second(spark):
     assert IN.incremental(df).count() == 100
 
 
+def test_pages_keep_rows_that_share_time_and_id(spark):
+    rows = [(f"P-{i // 7:03d}", "2025-03-02T09:15:00Z", i) for i in range(60)] + [("P-000", "2025-03-02T09:15:01Z", 60 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "transaction_id string, timestamp_utc string, n int")
+    seen, cursor, sizes = [], None, []
+    while page := IN.incremental(df, cursor, limit=15).collect():
+        assert page == sorted(page, key=lambda r: (r.timestamp_utc, r.transaction_id))
+        seen += [r.n for r in page]
+        sizes.append(len(page))
+        cursor = (page[-1].timestamp_utc, page[-1].transaction_id)
+    assert sorted(seen) == list(range(100))
+    assert sizes == [21, 21, 18, 40]  # a page ends with the rows that tie with its 15th
+    assert IN.incremental(df, limit=15).columns == df.columns and IN.incremental(df.limit(0), limit=15).count() == 0
+
+
 def test_iso_forms(spark):
     from datetime import datetime, timedelta
 
