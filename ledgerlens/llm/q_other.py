@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, sharding
+from . import ann, chat, sharding, whitening
 from .common import table
 
 #: Schemas of the tools that the derived calls name.
@@ -90,8 +90,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the first components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op4_chat_formatting": (op4_chat_formatting, OP4_SQL),
     "op5_nearest_neighbours": (op5_nearest_neighbours, None),
     "op7_sharding": (op7_sharding, sharding.place_sql("documents", "doc_id", "doc_id, strlen(text)::BIGINT AS n_bytes")),
+    "op12_whitening": (op12_whitening, None),
 }
