@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sentencepiece_codec, simhash, suffix_dedup, token_count, token_files, toxicity
+from . import decontaminate, importance, sentencepiece_codec, simhash, suffix_dedup, token_count, token_files, toxicity
 from .common import scratch, sha256_of_ints, table, vocabulary, written
 
 PIECES, BYTES, WORDS = "piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -85,6 +85,41 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards ``benchmark``, and the rank of
+    the tenth of them that is drawn."""
+    found = importance.resample(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+WITH crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 'b', NULL, NULL, text FROM benchmark),
+words AS (SELECT side, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+hashed AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM words), crc_table),
+own AS (SELECT side, row, bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY ALL),
+sides AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
+  FROM own GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sides) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM sides) + 10000))))::BIGINT AS gain FROM sides),
+weights AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM own JOIN gains USING (bucket)
+  WHERE side = 'd' GROUP BY row),
+scored AS (SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weights USING (row) WHERE side = 'd'),
+ranks AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features, row) AS rank
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN rank <= (SELECT count(*) FROM ranks) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranks USING (row)"""
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -93,4 +128,5 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_token_files": (op9_token_files, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op11_importance": (op11_importance, OP11_SQL),
 }
