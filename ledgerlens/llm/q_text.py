@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, importance, sentencepiece_codec, simhash, suffix_dedup, token_count, token_files, toxicity
+from . import decontaminate, importance, quality, sentencepiece_codec, simhash, suffix_dedup, token_count, token_files, toxicity
 from .common import scratch, sha256_of_ints, table, vocabulary, written
 
 PIECES, BYTES, WORDS = "piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 2
 LIMIT_TOKENS = 1024
 TOXIC_FROM = 0.7
+GOOD_FROM = 0.7
 SHINGLE_WORDS, MAX_BITS = 3, 3
 REPEAT_BYTES = 50
 
@@ -120,6 +121,20 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN rank <= (SELECT count(*) FROM ranks) * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranks USING (row)"""
 
 
+def quality_held_out(key) -> F.Column:
+    return F.crc32(key.cast("string")) % 4 == 2
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labelled rows that are not
+    held out."""
+    docs = texts(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality_held_out(F.col("doc_id"))))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(quality_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -129,4 +144,5 @@ QUERIES = {
     "op9_token_files": (op9_token_files, None),
     "op10_decontamination": (op10_decontamination, None),
     "op11_importance": (op11_importance, OP11_SQL),
+    "op13_quality": (op13_quality, None),
 }
