@@ -44,6 +44,9 @@ NODES, ROUNDS = 12, 40
 TOLERANCE, NO_VARIANCE = 4e-15, 1e-13
 #: Numbers that a task holds in partial matrices before it sends them.
 HELD = 1 << 22
+#: Numbers of all lengths' centres and components together up to which they
+#: are broadcast; beyond, rows and they meet on (length, one of SALTS).
+SENT, SALTS = 1 << 21, 64
 
 
 def integer_vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -208,9 +211,17 @@ def feast(v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], best[order]
 
 
-def components(fit: DataFrame, centre: DataFrame, wanted: int) -> DataFrame:
+def by_size(rows: DataFrame, each: DataFrame, numbers: int) -> DataFrame:
+    """Rows with what ``each`` holds for their size; most rows may have one."""
+    if numbers <= SENT:
+        return rows.join(F.broadcast(each), "size")
+    spread = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(spread, ["size", "salt"]).drop("salt")
+
+
+def components(fit: DataFrame, centre: DataFrame, wanted: int, numbers: int) -> DataFrame:
     """One row a size: values, vectors (component by component) and trace."""
-    y = fit.join(centre, "size").select("size", centred("x", "q", "r", F.col("n")).alias("y"))
+    y = by_size(fit, centre, numbers).select("size", centred("x", "q", "r", F.col("n")).alias("y"))
     products = y.mapInArrow(scatter, "size int, i int, j int, total double").groupBy("size", "i", "j").agg(F.sum("total").alias("total"))
 
     def solved(part: pd.DataFrame) -> pd.DataFrame:
@@ -232,8 +243,8 @@ def whiten(df: DataFrame, vector: str = "embedding", wanted: int = COMPONENTS) -
     rows = integer_vectors(df, vector)
     fit = written(rows.where("size > 0").select("size", "x").distinct(), "whitening-fit")
     centre = written(centres(fit), "whitening-centres")
-    model = written(components(fit, centre, wanted), "whitening-components")
-    model = model.join(centre, "size")
+    numbers = (wanted + 3) * (centre.agg(F.sum("size")).first()[0] or 0)
+    model = written(components(fit, centre, wanted, numbers).join(centre, "size"), "whitening-components")
 
     def projected(k):
         """Coordinates on the first components, one for each."""
@@ -242,20 +253,20 @@ def whiten(df: DataFrame, vector: str = "embedding", wanted: int = COMPONENTS) -
             return dot / F.sqrt(value)
         return F.zip_with("vectors", "values", along).alias(k)
 
-    def placed(source):
-        return source.join(model, "size").withColumn("y", centred("x", "q", "r", F.col("n"))).withColumn("w", projected("w"))
+    def placed(source, each):
+        return by_size(source, each, numbers).withColumn("y", centred("x", "q", "r", F.col("n"))).withColumn("w", projected("w"))
 
     pairs = [(i, j) for i in range(wanted) for j in range(i, wanted)]
     w = F.col("w")
-    spread = placed(fit).groupBy("size").agg(*[F.covar_pop(F.get(w, F.lit(i)), F.get(w, F.lit(j))).alias(f"c{i}_{j}")
+    spread = placed(fit, model).groupBy("size").agg(*[F.covar_pop(F.get(w, F.lit(i)), F.get(w, F.lit(j))).alias(f"c{i}_{j}")
                                                for i, j in pairs])
     off = F.greatest(*[F.abs(F.col(f"c{i}_{j}") - (1.0 if i == j else 0.0)) for i, j in pairs], F.lit(0.0))
-    errors = written(spread.select("size", off.alias("identity_error")), "whitening-errors")
+    whole = written(spread.select("size", off.alias("identity_error")).join(model, "size"), "whitening-model")
     zero = F.lit(0).cast("bigint")
     n_off = F.zip_with(F.zip_with("x", "q", F.try_subtract), "r", lambda a, b: F.try_subtract(F.try_multiply("n", a), b))
     deviation = F.aggregate(n_off, zero, lambda s, a: F.try_add(s, F.try_multiply(a, a)))
     share = F.transform("values", lambda e: e / F.col("trace"))
-    return (placed(rows).join(errors, "size")
+    return (placed(rows, whole)
             .select("row", "n", deviation.alias("deviation"), "identity_error", F.posexplode(F.arrays_zip(w.alias("w"), share.alias("share"))))
             .select("row", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", F.col("col.w").alias("whitened"),
                     F.col("col.share").alias("explained"), "identity_error"))

@@ -84,7 +84,9 @@ def test_whitening_equals_brute_force(spark):
     assert {c for r in got for c in r.row.asDict()} == {"vec_id", "embedding", "size", "x", "row", "n", "y"}
 
 
-def test_each_length_is_a_collection(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 21])
+def test_each_length_is_a_collection(spark, monkeypatch, sent):
+    monkeypatch.setattr(whitening, "SENT", sent)
     rng = np.random.default_rng(2)
     short, long = rng.standard_normal((30, 2)).tolist(), rng.standard_normal((50, 9)).tolist()
     rows = [(i, v, "s") for i, v in enumerate(short)] + [(i, v, "l") for i, v in enumerate(long)]
