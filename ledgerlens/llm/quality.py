@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str =
     if not ones or ones == total:
         z[-1] = 40.0 if ones else -40.0
         return Model(z)
-    dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "hash")
+    dealt = rows.repartitionById(SHARDS, "shard").sortWithinPartitions("shard", "hash")
     for _ in range(EPOCHS):
         changes = dealt.mapInArrow(trainer(z, n), "at int, z double, n double").groupBy("at").agg(
             F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()  # at most a row for each place
