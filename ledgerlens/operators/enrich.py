@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .features import ENTITIES, metric_exprs, window_start
-from .ordered import trailing_window
+from .timeline import Trail, attach, occurrences, points, sweep
 
 # Features the rules read: (flat name, entity, metric, window).
 RULE_FEATURES = [
@@ -76,35 +76,51 @@ def _tumbling(tx: DataFrame, distinct: str) -> DataFrame:
     return out
 
 
-def _trailing(tx: DataFrame, distinct: str) -> DataFrame:
-    """J8 trailing (W3): point-in-time features over [t - w, t], rows at t
-    included.  Each (entity, window) is one event sweep (``trailing_window``):
-    O(n log n), exact, and split into time chunks so hot keys stay parallel."""
+#: Trailing windows of each entity, and what its transactions add up.
+TRAILS = {
+    "account": [Trail(86400, {"acc_total_amount_24h": "amount", "acc_small_tx_count_24h": "small"}),
+                Trail(3600, {"_failed_1h": "failed", "_n_1h": "n"})],
+    "ip": [Trail(3600, distincts={"ip_unique_cards_1h": "card_pan"})],
+    "device": [Trail(3600, distincts={"dev_unique_cards_1h": "card_pan"})],
+    "card": [Trail(86400, distincts={"card_unique_accounts_24h": "account_number"})],
+}
+
+
+def trail_measures(entity: str) -> dict[str, Column]:
+    """Measures of the entity's points."""
+    if entity != "account":
+        return {"n": F.lit(1).cast("bigint")}
     amt = F.col("amount_rial")
-    specs = [
-        ("account_number", 86400, {"acc_total_amount_24h": amt,
-                                   "acc_small_tx_count_24h": F.when(amt < config.SMALL_TX_AMOUNT, 1).otherwise(0)}, {}),
-        ("account_number", 3600, {"_fail_1h": F.when(F.col("result") == "FAILED", 1).otherwise(0),
-                                  "_n_1h": F.lit(1)}, {}),
-        ("ip_address", 3600, {}, {"ip_unique_cards_1h": "card_pan"}),
-        ("device_fp_hash", 3600, {}, {"dev_unique_cards_1h": "card_pan"}),
-        ("card_pan", 86400, {}, {"card_unique_accounts_24h": "account_number"}),
-    ]
-    # Each sweep runs on a narrow projection and is joined back by id, so the
-    # plans stay independent (no sweep is nested inside another).
-    narrow = tx.select("transaction_id", "event_time", "account_number", "ip_address", "device_fp_hash",
-                       "card_pan", "amount_rial", "result")
+    return {"n": F.lit(1).cast("bigint"), "amount": amt.cast("decimal(28,0)"),
+            "small": F.when(amt < config.SMALL_TX_AMOUNT, 1).otherwise(0).cast("bigint"),
+            "failed": F.when(F.col("result") == "FAILED", 1).otherwise(0).cast("bigint")}
+
+
+def trail_values(entity: str) -> list[str]:
+    """Columns whose distinct values the entity's trails count."""
+    return sorted({v for tr in TRAILS[entity] for v in tr.distincts.values()})
+
+
+def attach_trails(tx: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
+    """Transactions with the swept features of every entity, joined on (key, time)."""
     out = tx
-    for key, secs, sums, distincts in specs:
-        part = trailing_window(narrow, key, secs, sums=sums, distincts=distincts)
-        out = out.join(part.select("transaction_id", *sums, *distincts), "transaction_id", "left")
-    return (out.withColumn("acc_total_amount_24h", F.col("acc_total_amount_24h").cast("long"))
-               .withColumn("acc_small_tx_count_24h", F.col("acc_small_tx_count_24h").cast("long"))
-               .withColumn("acc_fail_ratio_1h", F.col("_fail_1h").cast("double") / F.col("_n_1h").cast("double"))
-               .withColumn("ip_unique_cards_1h", F.col("ip_unique_cards_1h").cast("long"))
-               .withColumn("dev_unique_cards_1h", F.col("dev_unique_cards_1h").cast("long"))
-               .withColumn("card_unique_accounts_24h", F.col("card_unique_accounts_24h").cast("long"))
-               .drop("_fail_1h", "_n_1h"))
+    for entity, swept in features.items():
+        out = attach(out, ENTITIES[entity].key, swept)
+    whole = ["acc_total_amount_24h", "acc_small_tx_count_24h", "ip_unique_cards_1h", "dev_unique_cards_1h", "card_unique_accounts_24h"]
+    return (out.withColumns({c: F.col(c).cast("long") for c in whole})
+               .withColumn("acc_fail_ratio_1h", F.col("_failed_1h").cast("double") / F.col("_n_1h").cast("double"))
+               .drop("_failed_1h", "_n_1h"))
+
+
+def _trailing(tx: DataFrame) -> DataFrame:
+    """J8 trailing (W3): point-in-time features over [t - w, t], rows at t
+    included: one timeline an entity carries all its windows."""
+    swept = {}
+    for entity, trails in TRAILS.items():
+        key = ENTITIES[entity].key
+        occ = {v: occurrences(tx, key, v) for v in trail_values(entity)}
+        swept[entity] = sweep(points(tx, key, trail_measures(entity)), occ, trails)
+    return attach_trails(tx, swept)
 
 
 def attach_features(tx: DataFrame, mode: str = "tumbling", distinct: str = "exact") -> DataFrame:
@@ -112,7 +128,7 @@ def attach_features(tx: DataFrame, mode: str = "tumbling", distinct: str = "exac
     if mode == "tumbling":
         return _tumbling(tx, distinct)
     if mode == "trailing":
-        return _trailing(tx, distinct)
+        return _trailing(tx)
     raise ValueError(mode)
 
 

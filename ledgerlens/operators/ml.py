@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
-from .ordered import key_rank, last_n, trailing_window
+from .ordered import key_rank, last_n
+from .timeline import Trail, trailing
 
 SEQ_DIM = config.SEQ_LEN * len(config.SEQUENCE_FEATURES)
 _TWO_PI = 2 * math.pi
@@ -81,35 +82,26 @@ def behavioral_30d(tx: DataFrame, key: str = "national_code", days: int = 30) ->
     """The 8 behaviour inputs over the trailing ``days`` (rows within
     [t - days, t], same-time rows included), per transaction.
 
-    One event sweep gives count, exact amount sums (decimal) for mean and
-    sample std, night and fail counts and distinct IPs/devices; the first
-    time in the window (for the mean gap) is looked up by rank."""
-    amt = F.col("amount_rial")
-    sw = trailing_window(
-        tx, key, days * 86400,
-        sums={"_n": F.lit(1), "_s1": amt, "_s2": amt.cast("decimal(38,0)") * amt.cast("decimal(38,0)"),
-              "_night": F.col("is_night").cast("int"),
-              "_fail": F.when(F.col("result") == "FAILED", 1).otherwise(0)},
-        distincts={"unique_ips_30d": "ip_address", "unique_devices_30d": "device_fp_hash"},
-        cumulative={"_upto": F.lit(1)})
-    ranks = key_rank(tx.select(key, "event_time", "transaction_id"), key).select(
-        F.col(key).alias("_rk"), F.col("seq_rank").alias("_first_rank"), F.col("event_time").alias("_first_ts"))
-    sw = sw.withColumn("_first_rank", (F.col("_upto") - F.col("_n") + 1).cast("long"))
-    sw = sw.join(ranks, (sw[key].eqNullSafe(ranks["_rk"])) & (sw["_first_rank"] == ranks["_first_rank"]), "left") \
-           .drop(ranks["_first_rank"]).drop("_rk")
-    n = F.col("_n").cast("double")
-    var_num = F.col("_n").cast("decimal(38,0)") * F.col("_s2") - F.col("_s1") * F.col("_s1")
-    gap = F.when(F.col("_n") > 1, (F.unix_micros("event_time") - F.unix_micros("_first_ts"))
-                 / F.lit(3_600_000_000.0) / (n - 1))
-    return (sw.withColumn("avg_amount_30d", F.col("_s1").cast("double") / n)
-              .withColumn("std_amount_30d", F.when(F.col("_n") > 1, F.sqrt(var_num.cast("double") / (n * (n - 1)))))
-              .withColumn("night_ratio_30d", F.col("_night").cast("double") / n)
-              .withColumn("fail_ratio_30d", F.col("_fail").cast("double") / n)
-              .withColumn("unique_ips_30d", F.col("unique_ips_30d").cast("long"))
-              .withColumn("unique_devices_30d", F.col("unique_devices_30d").cast("long"))
-              .withColumn("tx_count_30d", F.col("_n").cast("long"))
+    One timeline gives count, exact amount sums (decimal) for mean and sample
+    std, night and fail counts, distinct IPs and devices and the first time in
+    the window (for the mean gap)."""
+    amt = F.col("amount_rial").cast("decimal(20,0)")
+    measures = {"_n": F.lit(1).cast("bigint"), "_s1": amt.cast("decimal(28,0)"), "_s2": amt * amt,
+                "_night": F.col("is_night").cast("bigint"),
+                "_fail": F.when(F.col("result") == "FAILED", 1).otherwise(0).cast("bigint")}
+    window = Trail(days * 86400, {m + "_w": m for m in measures},
+                   {"unique_ips_30d": "ip_address", "unique_devices_30d": "device_fp_hash"}, first="_first")
+    sw = trailing(tx, key, [window], measures)
+    n = F.col("_n_w").cast("double")
+    var_num = F.col("_n_w").cast("decimal(38,0)") * F.col("_s2_w") - F.col("_s1_w") * F.col("_s1_w")
+    gap = F.when(F.col("_n_w") > 1, (F.unix_micros("event_time") - F.col("_first")) / F.lit(3_600_000_000.0) / (n - 1))
+    return (sw.withColumn("avg_amount_30d", F.col("_s1_w").cast("double") / n)
+              .withColumn("std_amount_30d", F.when(F.col("_n_w") > 1, F.sqrt(var_num.cast("double") / (n * (n - 1)))))
+              .withColumn("night_ratio_30d", F.col("_night_w").cast("double") / n)
+              .withColumn("fail_ratio_30d", F.col("_fail_w").cast("double") / n)
+              .withColumn("tx_count_30d", F.col("_n_w").cast("long"))
               .withColumn("avg_tx_gap_hours_30d", gap)
-              .drop("_n", "_s1", "_s2", "_night", "_fail", "_upto", "_first_rank", "_first_ts"))
+              .drop(*[m + "_w" for m in measures], "_first"))
 
 
 def behavioral_profile(tx: DataFrame, as_of: str, key: str = "national_code", days: int = 30) -> DataFrame:

@@ -52,86 +52,3 @@ def last_n(df: DataFrame, key: str, item: Column, n: int, rank: str = "seq_rank"
     for name, expr in (extra or {}).items():
         u = u.withColumn(name, expr.over(part))
     return u.filter(~F.col("_halo")).drop("_item", "_b", "_tb", "_halo")
-
-
-def _running(events: DataFrame, deltas: list[str], chunk_seconds: int) -> DataFrame:
-    """Running sums of ``deltas`` per ``_k`` in (``_t``, ``_o``) order, split
-    into time chunks: chunk totals (partial aggregate) give the offsets, a
-    window inside each (key, chunk) gives the rest."""
-    ev = events.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_seconds * 1_000_000)).cast("long"))
-    tot = ev.groupBy("_k", "_c").agg(*[F.sum(d).alias("_tot_" + d) for d in deltas])
-    before = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_k", "_c", *[F.coalesce(F.sum("_tot_" + d).over(before), F.lit(0)).alias("_off_" + d)
-                                    for d in deltas])
-    inside = (Window.partitionBy("_k", "_c").orderBy("_t", "_o")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    q = ev.select("*", *[F.sum(d).over(inside).alias("_loc_" + d) for d in deltas]).filter(F.col("_o") == 1)
-    q = q.join(offs, ["_k", "_c"], "left")
-    for d in deltas:
-        q = q.withColumn("_run_" + d, F.coalesce(F.col("_off_" + d), F.lit(0)) + F.col("_loc_" + d))
-    return q.drop("_c", *[p + d for d in deltas for p in ("_off_", "_loc_")])
-
-
-def trailing_window(df: DataFrame, key: str, seconds: int, sums: dict[str, Column] | None = None,
-                    distincts: dict[str, str] | None = None, ts: str = "event_time",
-                    chunk_seconds: int = 3600, cumulative: dict[str, Column] | None = None) -> DataFrame:
-    """Per row, aggregates over the rows of its key with time in [t - seconds, t]
-    (rows at t included), computed by an event sweep instead of a range frame.
-
-    * ``sums``: name -> numeric expression; adds the window sum (decimal and
-      integer inputs stay exact).
-    * ``cumulative``: name -> expression; running sum over all earlier rows
-      of the key (rows at t included), from the same sweep.
-    * ``distincts``: name -> column; adds the number of distinct non-NULL
-      values.  Each (key, value) occurrence is live from its time until the
-      next occurrence or ``seconds`` later, whichever comes first; the count
-      at t is the number of live intervals.
-
-    Work is O(n log n) per key instead of O(n x frame), and running sums are
-    split into time chunks, so a hot key is spread over many tasks.
-    """
-    sums = dict(sums or {})
-    distincts = dict(distincts or {})
-    cumulative = dict(cumulative or {})
-    w_us = int(seconds) * 1_000_000
-    k = F.coalesce(F.col(key).cast("string"), F.lit("\u0000"))
-    t = F.unix_micros(F.col(ts))
-    names = list(sums) + list(distincts) + list(cumulative)
-    zero = {n: F.lit(0).cast("decimal(38,0)") for n in names}
-    base = df.withColumn("_k", k).withColumn("_t", t)
-    queries = base.select("*", F.lit(1).alias("_o"), *[zero[n].alias("_d_" + n) for n in names])
-    parts = []
-    for n, expr in sums.items():
-        x = expr.cast("decimal(38,0)") if not isinstance(expr, str) else F.col(expr).cast("decimal(38,0)")
-        src = base.select("_k", "_t", x.alias("_x")).filter(F.col("_x").isNotNull())
-        enter = src.select("_k", "_t", F.lit(0).alias("_o"), F.col("_x").alias("_v"), F.lit(n).alias("_n"))
-        leave = src.select("_k", (F.col("_t") + w_us).alias("_t"), F.lit(2).alias("_o"), (-F.col("_x")).alias("_v"),
-                           F.lit(n).alias("_n"))
-        parts += [enter, leave]
-    for n, expr in cumulative.items():
-        src = base.select("_k", "_t", expr.cast("decimal(38,0)").alias("_x")).filter(F.col("_x").isNotNull())
-        parts.append(src.select("_k", "_t", F.lit(0).alias("_o"), F.col("_x").alias("_v"), F.lit(n).alias("_n")))
-    for n, col in distincts.items():
-        occ = base.select("_k", F.col(col).alias("_val"), "_t").filter(F.col("_val").isNotNull()).distinct()
-        nxt = F.lead("_t").over(Window.partitionBy("_k", "_val").orderBy("_t"))
-        occ = occ.withColumn("_next", nxt)
-        enter = occ.select("_k", "_t", F.lit(0).alias("_o"), F.lit(1).cast("decimal(38,0)").alias("_v"),
-                           F.lit(n).alias("_n"))
-        handover = F.col("_next").isNotNull() & (F.col("_next") <= F.col("_t") + w_us)
-        leave = occ.select("_k", F.when(handover, F.col("_next")).otherwise(F.col("_t") + w_us).alias("_t"),
-                           F.when(handover, F.lit(0)).otherwise(F.lit(2)).alias("_o"),
-                           F.lit(-1).cast("decimal(38,0)").alias("_v"), F.lit(n).alias("_n"))
-        parts += [enter, leave]
-    events = None
-    for p in parts:
-        wide = p.select("_k", "_t", "_o", *[F.when(F.col("_n") == n, F.col("_v")).otherwise(zero[n]).alias("_d_" + n)
-                                            for n in names])
-        events = wide if events is None else events.unionByName(wide)
-    if events is None:
-        return df
-    # query rows carry the original columns; event rows carry NULLs there
-    events = events.unionByName(queries, allowMissingColumns=True)
-    out = _running(events, ["_d_" + n for n in names], chunk_seconds)
-    for n in names:
-        out = out.withColumn(n, F.col("_run__d_" + n))
-    return out.drop("_k", "_t", "_o", *["_d_" + n for n in names], *["_run__d_" + n for n in names])

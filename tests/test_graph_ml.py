@@ -136,19 +136,43 @@ def test_combine(spark):
     assert got == [0.0, 1.0, 1.0, round((0.2 * 0.5 + 0.4 * 0.3) / 0.8, 4)]
 
 
-def test_trailing_window_matches_range_frames(spark):
+@pytest.mark.parametrize("chunk,span", [(90, 3), (300, 288), (1, 2)])
+def test_timeline_matches_range_frames(spark, monkeypatch, chunk, span):
     from pyspark.sql.window import Window
-    from ledgerlens.operators.ordered import trailing_window
+    from ledgerlens.operators import timeline as TL
+    monkeypatch.setattr(TL, "CHUNK_SECONDS", chunk)
+    monkeypatch.setattr(TL, "SPAN_CHUNKS", span)
     rng = np.random.default_rng(5)
-    keys = ["hot", "a", "b", None]
-    rows = [(f"t{i}", keys[int(rng.integers(0, 4))], int(rng.integers(0, 20000)), int(rng.integers(1, 100)),
-             f"v{int(rng.integers(0, 6))}") for i in range(800)]
+    keys = ["hot", "hot", "a", "b", None]
+    rows = [(f"t{i}", keys[int(rng.integers(0, 5))], int(rng.integers(0, 9000)), int(rng.integers(1, 100)),
+             [f"v{int(rng.integers(0, 6))}", None][int(rng.integers(0, 5)) == 0]) for i in range(700)]
+    rows += [("t1", "a", 4000, 7, "v1"), ("t1", "a", 4000, 7, "v1"), ("t1", "a", 4000, 9, "v9"), (None, None, 4600, 1, None)]
     df = spark.createDataFrame(rows, "transaction_id string, k string, s long, x long, v string").withColumn(
         "event_time", F.timestamp_seconds("s"))
-    got = trailing_window(df, "k", 600, sums={"sx": F.col("x"), "n": F.lit(1)}, distincts={"dv": "v"},
-                          chunk_seconds=900)
-    w = Window.partitionBy("k").orderBy(F.unix_micros("event_time")).rangeBetween(-600_000_000, 0)
-    want = df.select("transaction_id", F.sum("x").over(w).alias("sx"), F.count(F.lit(1)).over(w).alias("n"),
-                     F.size(F.collect_set("v").over(w)).alias("dv"))
-    g = {r.transaction_id: (int(r.sx), int(r.n), int(r.dv)) for r in got.collect()}
-    assert g == {r.transaction_id: (int(r.sx), int(r.n), int(r.dv)) for r in want.collect()}
+    trails = [TL.Trail(600, {"sx": "x", "n": "one"}, {"dv": "v"}, first="f"), TL.Trail(60, {"sy": "x"}, {"dw": "v"}),
+              TL.Trail(4000, {}, {"dz": "v"}, first="g")]
+    got = TL.trailing(df, "k", trails, {"x": F.col("x"), "one": F.lit(1).cast("bigint")})
+    t = F.unix_micros("event_time")
+
+    def frame(seconds):
+        return Window.partitionBy("k").orderBy(t).rangeBetween(-seconds * 1_000_000, 0)
+    w = frame(600)
+    want = df.withColumns({"sx": F.sum("x").over(w), "n": F.count(F.lit(1)).over(w), "dv": F.size(F.collect_set("v").over(w)).cast("long"),
+                           "f": F.min(t).over(w), "sy": F.sum("x").over(frame(60)), "dw": F.size(F.collect_set("v").over(frame(60))).cast("long"),
+                           "dz": F.size(F.collect_set("v").over(frame(4000))).cast("long"), "g": F.min(t).over(frame(4000))})
+    assert got.columns == df.columns + ["sx", "n", "dv", "f", "sy", "dw", "dz", "g"] and got.count() == len(rows)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_timeline_scans_and_repeated_ids(spark, tmp_path):
+    from ledgerlens.operators.enrich import attach_features
+    rows = [("T", "c1", "a1", "i1", "d1", 5, "FAILED"), ("T", "c2", "a1", "i1", "d1", 7, "SUCCESS"), ("T", "c2", "a1", "i1", "d1", 7, "SUCCESS")]
+    tx = spark.createDataFrame(rows, "transaction_id string, card_pan string, account_number string, ip_address string, "
+                               "device_fp_hash string, amount_rial long, result string").withColumn("event_time", F.timestamp_seconds(F.lit(10)))
+    tx.write.parquet(f"{tmp_path}/tx")
+    got = attach_features(spark.read.parquet(f"{tmp_path}/tx"), "trailing")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") <= 1 + 4 * 4  # the rows, and at most four a timeline
+    assert [(r.acc_total_amount_24h, r.ip_unique_cards_1h, r.card_unique_accounts_24h, round(r.acc_fail_ratio_1h, 3))
+            for r in got.collect()] == [(19, 2, 1, 0.333)] * 3
