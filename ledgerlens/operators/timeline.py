@@ -36,12 +36,17 @@ MICROS = 1_000_000
 @dataclass(frozen=True)
 class Trail:
     """One trailing window [t - seconds, t]: output name -> measure for sums,
-    output name -> column for distinct counts, and the name under which the
-    earliest time in the window is wanted, if any."""
+    output name -> column for distinct counts, the name under which the
+    earliest time in the window is wanted, if any, and the ``entity`` whose
+    rows alone it is about, where a timeline holds several."""
     seconds: int
     sums: dict[str, str] = field(default_factory=dict)
     distincts: dict[str, str] = field(default_factory=dict)
     first: str | None = None
+    entity: str | None = None
+
+    def names(self) -> list[str]:
+        return [*self.sums, *self.distincts, *([self.first] if self.first else [])]
 
 
 def timeline_key(key: str) -> Column:
@@ -81,32 +86,34 @@ def neighbours(df: DataFrame, keys: list[str]) -> DataFrame:
              .drop("_c", "_l", "_r", "_left", "_right"))
 
 
-def running(events: DataFrame, names: list[str]) -> DataFrame:
-    """Query events (``_q``) with the sums of all deltas of their key up to
+def running(events: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Query events (``_q``) with the sums of all deltas of their keys up to
     their (time, order), equal ones included."""
     ev = events.withColumn("_c", _chunk("_t")).withColumn("_s", F.floor(F.col("_c") / SPAN_CHUNKS).cast("long"))
-    inside = Window.partitionBy("_k", "_s", "_c").orderBy("_t", "_o")  # equal (time, order) are peers
-    whole = ev.groupBy("_k", "_s", "_c").agg(*[F.sum(n).alias(n) for n in names])
+    inside = Window.partitionBy(*keys, "_s", "_c").orderBy("_t", "_o")  # equal (time, order) are peers
+    whole = ev.groupBy(*keys, "_s", "_c").agg(*[F.sum(n).alias(n) for n in names])
 
     def earlier(group: list[str], order: str):
         return Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    chunks = whole.select("_k", "_s", "_c", *[F.sum(n).over(earlier(["_k", "_s"], "_c")).alias("_c_" + n) for n in names])
-    spans = whole.groupBy("_k", "_s").agg(*[F.sum(n).alias(n) for n in names])
-    spans = spans.select("_k", "_s", *[F.sum(n).over(earlier(["_k"], "_s")).alias("_s_" + n) for n in names])
+    chunks = whole.select(*keys, "_s", "_c", *[F.sum(n).over(earlier([*keys, "_s"], "_c")).alias("_c_" + n) for n in names])
+    spans = whole.groupBy(*keys, "_s").agg(*[F.sum(n).alias(n) for n in names])
+    spans = spans.select(*keys, "_s", *[F.sum(n).over(earlier(keys, "_s")).alias("_s_" + n) for n in names])
     zero = F.lit(0)
-    q = (ev.select("_k", "_s", "_c", "_t", "_q", *[F.sum(n).over(inside).alias(n) for n in names]).where("_q")
-           .join(chunks.join(spans, ["_k", "_s"]), ["_k", "_s", "_c"]))
-    return q.select("_k", "_t", *[(F.col(n) + F.coalesce(F.col("_c_" + n), zero) + F.coalesce(F.col("_s_" + n), zero)).alias(n)
+    q = (ev.select(*keys, "_s", "_c", "_t", "_q", *[F.sum(n).over(inside).alias(n) for n in names]).where("_q")
+           .join(chunks.join(spans, [*keys, "_s"]), [*keys, "_s", "_c"]))
+    return q.select(*keys, "_t", *[(F.col(n) + F.coalesce(F.col("_c_" + n), zero) + F.coalesce(F.col("_s_" + n), zero)).alias(n)
                                   for n in names])
 
 
 def sweep(pts: DataFrame, occ: dict[str, DataFrame], trails: list[Trail], use: list[Column] | None = None,
-          stay: list[Column] | None = None, query: Column | None = None) -> DataFrame:
-    """(_k, _t, features): one row for every point where ``query`` holds (all).
+          stay: list[Column] | None = None, query: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, _t, features): one row for every point where ``query`` holds (all).
 
     ``use`` says for each trail which points count at all, ``stay`` which never
-    leave: partial sums that lie in the window of every query."""
+    leave: partial sums that lie in the window of every query.  ``keys`` are
+    ``_k``, or ``entity`` and ``_k`` where the timeline holds several entities."""
+    keys = keys or ["_k"]
     use = use or [F.lit(True)] * len(trails)
     stay = stay or [F.lit(False)] * len(trails)
     measured = {m for tr in trails for m in tr.sums.values()}
@@ -114,7 +121,10 @@ def sweep(pts: DataFrame, occ: dict[str, DataFrame], trails: list[Trail], use: l
     for tr in trails:
         types |= {out: types[m] for out, m in tr.sums.items()} | {out: "bigint" for out in tr.distincts}
         types |= {tr.first: "bigint"} if tr.first else {}
-    names = [n for tr in trails for n in [*tr.sums, *tr.distincts, *([tr.first] if tr.first else [])]]
+    names = [n for tr in trails for n in tr.names()]
+
+    def of(tr):
+        return F.lit(True) if tr.entity is None else F.col("entity") == tr.entity
 
     def event(t, order, q, deltas):
         return F.struct(t.cast("long").alias("_t"), F.lit(order).alias("_o"), q.alias("_q"),
@@ -123,6 +133,7 @@ def sweep(pts: DataFrame, occ: dict[str, DataFrame], trails: list[Trail], use: l
     t = F.col("_t")
     enter, leave = {}, []
     for tr, counts, stays in zip(trails, use, stay):
+        counts = counts & of(tr)
         out = {n: -F.when(counts, F.col(m)) for n, m in tr.sums.items()}
         enter |= {n: F.coalesce(-x, F.lit(0)) for n, x in out.items()}
         if out:
@@ -130,27 +141,27 @@ def sweep(pts: DataFrame, occ: dict[str, DataFrame], trails: list[Trail], use: l
                                                         {n: F.coalesce(x, F.lit(0)) for n, x in out.items()})))
     q = F.lit(True) if query is None else query
     both = F.filter(F.array(event(t, 0, q, enter), *leave), lambda e: e.isNotNull())
-    parts = [pts.select("_k", F.inline(both))]
+    parts = [pts.select(*keys, F.inline(both))]
     firsts = [tr for tr in trails if tr.first]
     if firsts:  # the first time of the key enters; a time that leaves hands over to the next
         steps = [F.when(F.col("_before").isNull(), event(t, 0, F.lit(False), {tr.first: t for tr in firsts}))]
         steps += [F.when(F.col("_after").isNotNull(), event(t + tr.seconds * MICROS, 2, F.lit(False), {tr.first: F.col("_after") - t}))
                   for tr in firsts]
-        near = neighbours(pts.select("_k", "_t"), ["_k"])
-        parts.append(near.select("_k", F.inline(F.filter(F.array(*steps), lambda e: e.isNotNull()))))
+        near = neighbours(pts.select(*keys, "_t"), keys)
+        parts.append(near.select(*keys, F.inline(F.filter(F.array(*steps), lambda e: e.isNotNull()))))
     for value, times in occ.items():
-        near = neighbours(times, ["_k", "_v"])
+        near = neighbours(times, [*keys, "_v"])
         steps = []
         for tr in trails:
             for n in [n for n, v in tr.distincts.items() if v == value]:
                 w = tr.seconds * MICROS
                 begins = F.col("_before").isNull() | (F.col("_before") + w < t)
                 ends = F.col("_after").isNull() | (F.col("_after") > t + w)
-                steps += [F.when(begins, event(t, 0, F.lit(False), {n: F.lit(1)})),
-                          F.when(ends, event(t + w, 2, F.lit(False), {n: F.lit(-1)}))]
+                steps += [F.when(of(tr) & begins, event(t, 0, F.lit(False), {n: F.lit(1)})),
+                          F.when(of(tr) & ends, event(t + w, 2, F.lit(False), {n: F.lit(-1)}))]
         if steps:
-            parts.append(near.select("_k", F.inline(F.filter(F.array(*steps), lambda e: e.isNotNull()))))
-    return running(reduce(DataFrame.unionByName, parts), names)
+            parts.append(near.select(*keys, F.inline(F.filter(F.array(*steps), lambda e: e.isNotNull()))))
+    return running(reduce(DataFrame.unionByName, parts), names, keys)
 
 
 def attach(df: DataFrame, key: str, features: DataFrame, ts: str = "event_time") -> DataFrame:

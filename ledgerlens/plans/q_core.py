@@ -351,20 +351,29 @@ def _flat_sql(src: str) -> str:
 SQL_TX_FEATURES_WIDE = O.with_tx(_flat_sql("txf"), *_feature_ctes())
 
 
-def _trailing_sql() -> str:
+def _trailing_columns(ratio: str) -> str:
+    """The trailing rule features; ``ratio`` wraps the failure ratio."""
     def w(key, secs):
         return (f"OVER (PARTITION BY {key} ORDER BY event_time "
                 f"RANGE BETWEEN INTERVAL {secs} SECONDS PRECEDING AND CURRENT ROW)")
-    return O.with_tx(f"""
-SELECT transaction_id,
+    return f"""
   CAST(sum(amount_rial) {w('account_number', 86400)} AS BIGINT) AS acc_total_amount_24h,
   count(*) FILTER (WHERE amount_rial < {config.SMALL_TX_AMOUNT}) {w('account_number', 86400)} AS acc_small_tx_count_24h,
   count(DISTINCT card_pan) {w('ip_address', 3600)} AS ip_unique_cards_1h,
   count(DISTINCT card_pan) {w('device_fp_hash', 3600)} AS dev_unique_cards_1h,
-  round(count(*) FILTER (WHERE result = 'FAILED') {w('account_number', 3600)}
-        / count(*) {w('account_number', 3600)}, 6) AS acc_fail_ratio_1h,
+  {ratio.format(f"count(*) FILTER (WHERE result = 'FAILED') {w('account_number', 3600)} / count(*) {w('account_number', 3600)}")}
+    AS acc_fail_ratio_1h,
   count(DISTINCT account_number) {w('card_pan', 86400)} AS card_unique_accounts_24h
-FROM tx""")
+FROM tx"""
+
+
+def _trailing_sql() -> str:
+    return O.with_tx(f"SELECT transaction_id, {_trailing_columns('round({}, 6)')}")
+
+
+def _trailing_ctes() -> list[str]:
+    """``txf`` as the tumbling features name it, with trailing windows."""
+    return [f"txf AS (SELECT tx.*, {_trailing_columns('{}')})"]
 
 
 def _template_sql(code: str, **values: str) -> str:
@@ -427,8 +436,8 @@ def _alerts_cte() -> str:
             f"THEN {config.SEVERITY_WEIGHT['medium']} ELSE {config.SEVERITY_WEIGHT['low']} END AS weight FROM alerts)")
 
 
-def _scoring_sql(body: str) -> str:
-    return O.with_tx(body, *_feature_ctes(), O.limits_cte(), _alerts_cte())
+def _scoring_sql(body: str, features: list[str] | None = None) -> str:
+    return O.with_tx(body, *(features or _feature_ctes()), O.limits_cte(), _alerts_cte())
 
 
 def q_rule_alerts(spark, sf):
@@ -461,7 +470,7 @@ SELECT tx.transaction_id, tx.account_number AS account_id, tx.account_type,
 FROM tx LEFT JOIN agg USING (transaction_id)""".replace("\n, agg AS", ",\nagg AS", 1))
 
 
-def _decisions_sql(select: str) -> str:
+def _decisions_sql(select: str, features: list[str] | None = None) -> str:
     return _scoring_sql(f"""
 , agg AS (SELECT transaction_id, least(1.0, sum(weight)) AS rs, bool_or(severity = 'high') AS blk,
                  count(*) AS n,
@@ -478,7 +487,7 @@ decided AS (
                  WHEN risk_score >= {config.MEDIUM_THRESHOLD} THEN 'medium' ELSE 'low' END AS risk_level,
          (rule_block OR risk_score >= {config.BLOCK_THRESHOLD}) AS should_block
   FROM dec)
-{select}""".replace("\n, agg AS", ",\nagg AS", 1))
+{select}""".replace("\n, agg AS", ",\nagg AS", 1), features)
 
 
 def decisions_frame(spark, sf) -> DataFrame:
@@ -493,9 +502,11 @@ def q_risk_decisions(spark, sf):
                                  ",").alias("top_alert_codes"))
 
 
-SQL_RISK_DECISIONS = _decisions_sql(
+_DECISION_COLUMNS = (
     "SELECT transaction_id, account_number AS account_id, risk_score, risk_level, should_block, rule_score, "
     "0.0::DOUBLE AS ml_score, alert_count, top_alert_codes FROM decided")
+SQL_RISK_DECISIONS = _decisions_sql(_DECISION_COLUMNS)
+SQL_TRAILING_DECISIONS = _decisions_sql(_DECISION_COLUMNS, _trailing_ctes())
 
 
 def q_top_alerts(spark, sf):

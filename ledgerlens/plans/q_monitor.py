@@ -6,11 +6,23 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import monitor as M
 from ..sources import testdata as TD
-from .q_core import _decisions_sql, decisions_frame
+from ..session import scratch_path
+from ..streaming.sinks import BatchSink, write_decisions
+from . import q_core
+from .q_core import _decisions_sql
 
 NTZ = "timestamp_ntz"
 
 
+def decisions_frame(spark, sf):
+    """The decisions sink of the batch job: scored and committed once, then
+    read back by every monitoring query."""
+    sink = BatchSink(spark, scratch_path(spark, f"decisions-{TD._fingerprint(spark, sf)}"))
+    if not sink.batches():
+        write_decisions(sink, 0, q_core.decisions_frame(spark, sf))
+    return sink.read().drop("batch")
+
+
 def _codes(col):
     return F.array_join(F.transform(col, lambda a: F.concat(a["code"], F.lit(":"), a["severity"])), ",")
 

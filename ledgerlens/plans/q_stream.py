@@ -2,7 +2,8 @@
 
 The transactions derived from the driver tables are written once to a
 folder under the shared checkpoint directory and replayed as a file stream
-with ``availableNow``; the results must equal the batch twin."""
+with ``availableNow``; the results must equal the batch twin.  Replays in time
+order hand over one file, a range of times, a micro-batch."""
 from __future__ import annotations
 
 import os
@@ -15,13 +16,41 @@ from .. import config
 from ..session import scratch_path
 from ..sources import testdata as TD
 from ..streaming import pipelines as S
-from .q_core import q_risk_decisions, rounded_features, sql_features, SQL_RISK_DECISIONS  # noqa: F401
+from ..streaming.sinks import BatchSink, totals
+from ..streaming.state import Files
+from .q_core import SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, rounded_features, sql_features
 
 
 STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "account_type",
                                                                   "mobile_normalized", "device_fingerprint"]
 
 
+MICRO_BATCHES = 8
+
+
+def _in_order(spark, folder):
+    """Give files modification times in the order of their names, which the
+    file source follows."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(names):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), 1_000_000_000_000 + 10_000 * i, -1)
+    return len(names)
+
+
+def _ordered_replay(spark, rows, order, run):
+    """Stream of ``rows``, written under ``run`` in MICRO_BATCHES ranges of
+    ``order`` unless a run before did."""
+    source = os.path.join(run, "source")
+    if not Files(spark).exists(os.path.join(source, "_SUCCESS")):
+        rows.repartitionByRange(MICRO_BATCHES, order).write.mode("overwrite").parquet(source)
+        _in_order(spark, source)
+    schema = spark.read.parquet(source).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
 def _replay_source(spark, sf):
     run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     tx = TD.transactions(spark, sf).select(*STREAM_COLUMNS)
@@ -53,19 +82,76 @@ def q_stream_features_card(spark, sf):
     return rounded_features(flat)
 
 
-def q_stream_decisions(spark, sf):
-    run, stream = _replay_source(spark, sf)
-    out = os.path.join(run, "decisions")
-    q = S.start_scoring(stream, out, os.path.join(run, "ckpt"), trigger={"availableNow": True})
-    q.awaitTermination()
-    d = spark.read.parquet(out)
+def _decision_columns(d):
     return d.select("transaction_id", "account_id", "risk_score", "risk_level", "should_block", "rule_score",
                     "ml_score", "alert_count",
                     F.array_join(F.transform("top_alerts", lambda a: F.concat(a["code"], F.lit(":"), a["severity"])),
                                  ",").alias("top_alert_codes"))
 
 
+def _scored_stream(spark, sf):
+    """The decisions sink after all transactions came in time order.  Source,
+    state, sink and checkpoint stay in one folder: a second run goes on where
+    the first ended."""
+    run = scratch_path(spark, f"scored-stream-{TD._fingerprint(spark, sf)}")
+    stream = _ordered_replay(spark, TD.transactions(spark, sf).select(*STREAM_COLUMNS), "event_time", run)
+    sink = os.path.join(run, "decisions")
+    S.start_scoring(stream, sink, os.path.join(run, "state"), os.path.join(run, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    return BatchSink(spark, sink)
+
+
+def q_stream_decisions(spark, sf):
+    """Decisions of a stream in micro-batches, with the trailing features of
+    all transactions up to each one."""
+    return _decision_columns(_scored_stream(spark, sf).read())
+
+
+def q_stream_decision_totals(spark, sf):
+    """What the scoring stream counted, added up over its batches."""
+    return totals(_scored_stream(spark, sf), ["total_tx", "blocked", *config.RISK_LEVELS, "late"])
+
+
+SQL_STREAM_DECISION_TOTALS = _decisions_sql(f"""
+SELECT count(*) AS total_tx, count(*) FILTER (WHERE should_block) AS blocked,
+  {", ".join(f"count(*) FILTER (WHERE risk_level = '{x}') AS {x}" for x in config.RISK_LEVELS)},
+  0::BIGINT AS late, {MICRO_BATCHES}::BIGINT AS batches FROM decided""", _trailing_ctes())
+
+
+def _ingested_stream(spark, sf):
+    """(clean sink, dead-letter sink) after all raw payloads came in."""
+    run = scratch_path(spark, f"ingested-stream-{TD._fingerprint(spark, sf)}")
+    stream = _ordered_replay(spark, TD.raw_payloads(spark, sf), "payload", run)
+    clean, dead = os.path.join(run, "clean"), os.path.join(run, "dlq")
+    S.start_ingest(stream, clean, dead, os.path.join(run, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    return BatchSink(spark, clean), BatchSink(spark, dead)
+
+
+def q_stream_ingest_totals(spark, sf):
+    """A8 over micro-batches: clean and rejected rows, and batches."""
+    return totals(_ingested_stream(spark, sf)[0], ["ok", "dlq"])
+
+
+def q_stream_dlq(spark, sf):
+    """Dead letters of the stream, read back from their sink."""
+    return _ingested_stream(spark, sf)[1].read().select("transaction_id", "raw_payload", "error", "source")
+
+
+SQL_STREAM_INGEST_TOTALS = _sql_ingest(f"""
+SELECT count(*) FILTER (WHERE error IS NULL) AS ok, count(*) FILTER (WHERE error IS NOT NULL) AS dlq,
+  {MICRO_BATCHES}::BIGINT AS batches FROM judged""")
+
+SQL_STREAM_DLQ = _sql_ingest("""
+SELECT transaction_id, error, 'bank_api' AS source,
+  '{"transaction_id":"' || transaction_id || '","timestamp":"' || ts_text || '","amount_rial":' || amount_raw
+  || ',"card_pan":"' || card_raw || '","account_number":"' || account_number || '","national_code":"' || nc_raw
+  || '","mobile":"' || mobile_raw || '","ip_address":"' || ip_raw || '","device_fingerprint":"' || dev_raw
+  || '","channel":"' || channel || '","result":"' || result || '"}' AS raw_payload
+FROM judged WHERE error IS NOT NULL""")
+
 QUERIES = {
     "stream_features_card": (q_stream_features_card, sql_features("card")),
-    "stream_decisions": (q_stream_decisions, SQL_RISK_DECISIONS),
+    "stream_decisions": (q_stream_decisions, SQL_TRAILING_DECISIONS),
+    "stream_decision_totals": (q_stream_decision_totals, SQL_STREAM_DECISION_TOTALS),
+    "stream_ingest_totals": (q_stream_ingest_totals, SQL_STREAM_INGEST_TOTALS),
+    "stream_dlq": (q_stream_dlq, SQL_STREAM_DLQ),
 }

@@ -6,7 +6,8 @@
   with a 1 h watermark, update mode, a checkpoint per query (T1-T6).
 * ``start_ingest`` – raw payload stream -> validate -> clean and dead-letter
   sinks from one micro-batch (T7).
-* ``start_scoring`` – each micro-batch is enriched, ruled and decided (T8).
+* ``start_scoring`` – each micro-batch is enriched from the feature state and
+  itself, ruled, decided and counted (T8).
 * ``start_graph_upkeep`` – each micro-batch is merged into a new graph
   version; a version per batch id makes replays idempotent (T9).
 
@@ -26,7 +27,12 @@ from .. import config
 from ..operators import features as FE
 from ..operators import graph as G
 from ..operators import ingest as IN
-from ..plans.scoring import score
+from ..operators.decision import decide
+from ..operators.enrich import attach_limits, attach_trails
+from ..operators.rules import evaluate_rules
+from . import trail_state as TS
+from .sinks import BatchSink, write_decisions, write_dlq
+from .state import BatchState
 
 NORMALIZED_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType(), False),
@@ -118,13 +124,15 @@ def start_feature_queries(stream: DataFrame, checkpoint_base: str, sink: str = "
 
 def start_ingest(raw_stream: DataFrame, clean_path: str, dlq_path: str, checkpoint: str,
                  trigger: dict | None = None):
-    """Validate once per micro-batch, write clean rows and dead letters."""
+    """Validate once per micro-batch, write clean rows and dead letters.
+    The manifests of the clean sink count both (A8); ``sinks.totals`` adds them up."""
     def write(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
         v = IN.validate(IN.parse_payloads(batch)).persist()
         try:
             clean, dlq = IN.split(v)
-            clean.write.mode("overwrite").parquet(os.path.join(clean_path, f"batch={batch_id:012d}"))
-            dlq.write.mode("overwrite").parquet(os.path.join(dlq_path, f"batch={batch_id:012d}"))
+            dead = write_dlq(BatchSink(spark, dlq_path), batch_id, dlq)
+            BatchSink(spark, clean_path).write(batch_id, clean, {"ok": F.count(F.lit(1))}, dead)
         finally:
             v.unpersist()
     return (raw_stream.writeStream.option("checkpointLocation", checkpoint)
@@ -132,12 +140,38 @@ def start_ingest(raw_stream: DataFrame, clean_path: str, dlq_path: str, checkpoi
             .foreachBatch(write).start())
 
 
-def start_scoring(tx_stream: DataFrame, decisions_path: str, checkpoint: str,
-                  ml_scores: DataFrame | None = None, trigger: dict | None = None):
-    """Score every micro-batch (features of the batch, rules, decision)."""
+def score_batch(batch: DataFrame, batch_id: int, state: BatchState, sink: BatchSink, ml_scores: DataFrame | None = None,
+                lateness: int = TS.LATENESS) -> None:
+    """T8 for one micro-batch: trailing features over state and batch, rules,
+    decisions; then the batch's own rows go into the state."""
+    state.check(batch_id)
+    batch = batch.persist()
+    try:
+        t = F.unix_micros("event_time")
+        known = state.last(batch_id) or {"newest": None}
+        floor = None if known["newest"] is None else known["newest"] - lateness * 1_000_000
+        late = F.count_if(t < floor) if floor is not None else F.lit(0).cast("long")
+        t0, t1, late = batch.agg(F.min(t), F.max(t), late).first()
+        if t0 is None:
+            t0 = t1 = known["newest"] or 0
+        newest = max(t1, known["newest"] or t1)
+        swept = state.kept("features", batch_id, TS.features(batch, state, batch_id, t0, t1))
+        featured = attach_trails(batch, {e: TS.of_entity(swept, e) for e in TS.TRAILS})
+        write_decisions(sink, batch_id, decide(evaluate_rules(attach_limits(featured)), ml_scores), {"late": late})
+        state.write(batch_id, TS.additions(batch), {"newest": newest, "late": late})
+        state.fold(batch_id, TS.merges(newest, lateness))
+    finally:
+        batch.unpersist()
+
+
+def start_scoring(tx_stream: DataFrame, decisions_path: str, state_path: str, checkpoint: str,
+                  ml_scores: DataFrame | None = None, trigger: dict | None = None, lateness: int = TS.LATENESS):
+    """Every transaction is ruled, decided and counted with the trailing
+    features of all transactions that came so far.  ``BatchSink.read`` gives
+    the decisions, ``sinks.totals`` the counters."""
     def write(batch: DataFrame, batch_id: int):
-        d = score(batch, ml_scores)
-        d.write.mode("overwrite").parquet(os.path.join(decisions_path, f"batch={batch_id:012d}"))
+        spark = batch.sparkSession
+        score_batch(batch, batch_id, BatchState(spark, state_path, TS.SCHEMAS), BatchSink(spark, decisions_path), ml_scores, lateness)
     return (tx_stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": config.TRIGGER_INTERVAL}))
             .foreachBatch(write).start())
