@@ -156,7 +156,7 @@ class Ids:
         self.finishes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         # a word must give the same ids alone and between others
-        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b."]
+        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b.", "\u095f?", "\u09dd:", "q\u095d."]
         self.apart = (self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
                       and self.encode("azAZ naive") == self.encode("azaz naive")
                       and self.plain.encode("azaz naive").ids == self.tokenizer.encode("azaz naive", add_special_tokens=False).ids)
@@ -167,7 +167,9 @@ class Ids:
     def learn(self, words: list[str]) -> None:
         known = self.known
         low = [self.folded(w) if w.isascii() and not w.islower() else w for w in words]
-        ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() else "" for w in low]
+        # a letter that normalising takes apart may leave a mark that joins the stop
+        ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() and (w.isascii() or is_normalized("NFC", w)) else ""
+                for w in low]
         stems = [w[:len(w) - len(e)] for w, e in zip(low, ends)]
         new = list({*stems, *ends} - known.keys())
         letters = [w for w in new if w.isalpha()]

@@ -1,6 +1,7 @@
 """Text operators against the public libraries and brute force."""
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -69,6 +70,19 @@ def test_token_ids_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
+def test_token_ids_of_every_letter_before_a_stop():
+    from tokenizers import Tokenizer
+    path = vocabulary(q_text.WORDS)
+    lib, encode = Tokenizer.from_file(path), token_files.Ids(path)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    own = letters[::7] + [c for c in letters if unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFD", c) != c]
+    texts = [f"{c}{stop} a{c}{stop}" for c, stop in zip(own, ".,;:!?" * len(own))]
+    assert encode.apart
+    wrong = [t for t, raw, enc in zip(texts, encode(texts), lib.encode_batch(texts, add_special_tokens=False))
+             if np.frombuffer(raw, "<u4").tolist() != enc.ids]
+    assert wrong == []
+
+
 def test_token_ids_of_special_strings_in_any_case():
     from tokenizers import Tokenizer
     path = vocabulary(q_text.WORDS)
