@@ -38,6 +38,8 @@ BITS = 24
 MAX_ROWS, MAX_PLACES = 8192, 1024
 #: Penalty on squared coefficients.
 RIDGE = 1.0
+#: Places of rows that a task holds before it counts and sends them.
+HELD = 1 << 21
 #: Bytes of a text whose n-grams are hashed at once.
 SPAN = 1 << 18
 
@@ -57,19 +59,31 @@ def places(text: str) -> Iterator[np.ndarray]:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, toxic) to rows with any of a place (place, pos, neg)."""
-    counts = [np.zeros(1 << BITS, dtype=np.int32) for _ in range(2)]
+    """Rows (text, toxic) to rows with any of a place (place, pos, neg); a
+    place may come several times."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def sent():
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        for i in range(0, len(key), 1 << 16):
+            own, count = key[i:i + (1 << 16)], n[i:i + (1 << 16)].astype(np.int32)
+            pos = np.where(own & 1 == 1, count, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((own >> 1).astype(np.int32)), pa.array(pos), pa.array(count - pos)],
+                                             names=["place", "pos", "neg"])
+
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             found = list(places(text.as_py()))
             if found:
-                counts[toxic][np.unique(np.concatenate(found))] += 1
-    at = np.flatnonzero(counts[0] + counts[1])
-    for i in range(0, len(at), 1 << 16):
-        own = at[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(counts[1][own]), pa.array(counts[0][own])],
-                                         names=["place", "pos", "neg"])
-    del counts, at
+                held.append(np.unique(np.concatenate(found)).astype(np.uint32) << np.uint32(1) | np.uint32(toxic))
+                size += len(held[-1])
+            if size > HELD:
+                yield from sent()
+                size = 0
+    if held:
+        yield from sent()
     trim()
 
 
