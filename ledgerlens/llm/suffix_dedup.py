@@ -54,7 +54,7 @@ GRAM = 24
 RUN = 32
 #: Bytes of a block, distinct minimizers in a task, fragments in a task, and
 #: fragments of one minimizer from which on it is dealt by its strings.
-BLOCK, KEYS, FRAGMENTS, HOT = 4 << 20, 1 << 19, 1 << 12, 2048
+BLOCK, KEYS, FRAGMENTS, HOT = 2 << 20, 1 << 19, 1 << 12, 2048
 #: Start positions whose hashes are taken at once.
 SPAN = 1 << 18
 LAST = np.iinfo(np.int64).max
