@@ -17,6 +17,7 @@ from ..functions import network as FN
 from ..functions.identity import PERSIAN_DIGITS
 from ..operators import features as FE
 from ..operators import ingest as IN
+from ..operators import rollup as RU
 from ..operators.enrich import RULE_FEATURES, attach_features, fill_feature_defaults
 from ..operators.rules import explode_alerts
 from ..sources import testdata as TD
@@ -280,6 +281,14 @@ SELECT '{entity}' AS entity_type, entity_id, window_duration, window_start,
 FROM b GROUP BY entity_id, window_duration, window_start, secs""".replace("\n, b AS", ",\nb AS", 1))
 
 
+def q_features_all(spark, sf):
+    """Every entity and window, rolled up from hourly partials."""
+    return rounded_features(RU.all_rolled_up(TD.transactions(spark, sf)))
+
+
+SQL_FEATURES_ALL = " UNION ALL BY NAME ".join(f"({sql_features(e)})" for e in FE.ENTITIES)
+
+
 def q_features_json(spark, sf):
     tx = TD.transactions(spark, sf)
     return FE.feature_json(FE.entity_features(tx, "card", config.WINDOWS, "exact"))
@@ -533,6 +542,7 @@ QUERIES = {
     "features_account": (_q_features("account"), sql_features("account")),
     "features_ip": (_q_features("ip"), sql_features("ip")),
     "features_device": (_q_features("device"), sql_features("device")),
+    "features_all": (q_features_all, SQL_FEATURES_ALL),
     "features_approx": (q_features_approx, None),
     "features_json": (q_features_json, None),
     "tx_features_wide": (q_tx_features_wide, SQL_TX_FEATURES_WIDE),

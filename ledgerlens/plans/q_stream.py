@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
+from ..operators import features as FE
 from ..session import scratch_path
 from ..sources import testdata as TD
 from ..streaming import pipelines as S
+from ..streaming import rollups as RS
 from ..streaming.sinks import BatchSink, totals
 from ..streaming.state import Files
-from .q_core import SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, rounded_features, sql_features
+from .q_core import SQL_FEATURES_ALL, SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, rounded_features, sql_features
 
 
 STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "account_type",
@@ -26,6 +29,7 @@ STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "
 
 
 MICRO_BATCHES = 8
+ROLLUP_BATCHES = 4
 
 
 def _in_order(spark, folder):
@@ -40,12 +44,12 @@ def _in_order(spark, folder):
     return len(names)
 
 
-def _ordered_replay(spark, rows, order, run):
-    """Stream of ``rows``, written under ``run`` in MICRO_BATCHES ranges of
-    ``order`` unless a run before did."""
+def _ordered_replay(spark, rows, order, run, batches=MICRO_BATCHES):
+    """Stream of ``rows``, written under ``run`` in as many ranges of
+    ``order`` as batches unless a run before did."""
     source = os.path.join(run, "source")
     if not Files(spark).exists(os.path.join(source, "_SUCCESS")):
-        rows.repartitionByRange(MICRO_BATCHES, order).write.mode("overwrite").parquet(source)
+        rows.repartitionByRange(batches, order).write.mode("overwrite").parquet(source)
         _in_order(spark, source)
     schema = spark.read.parquet(source).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
@@ -148,10 +152,22 @@ SELECT transaction_id, error, 'bank_api' AS source,
   || '","channel":"' || channel || '","result":"' || result || '"}' AS raw_payload
 FROM judged WHERE error IS NOT NULL""")
 
+def q_stream_features_all(spark, sf):
+    """The 16 feature tables (entity x window) from one stream an
+    entity, as they stand after the last batch."""
+    run = scratch_path(spark, f"rolled-stream-{TD._fingerprint(spark, sf)}")
+    stream = _ordered_replay(spark, TD.transactions(spark, sf).select(*STREAM_COLUMNS), "event_time", run, ROLLUP_BATCHES)
+    out = os.path.join(run, "features")
+    RS.watch(spark, RS.start_rollups(stream, out, os.path.join(run, "ckpt"), trigger={"availableNow": True}))
+    parts = [RS.current(spark, out, e) for e in FE.ENTITIES]
+    return rounded_features(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
 QUERIES = {
     "stream_features_card": (q_stream_features_card, sql_features("card")),
     "stream_decisions": (q_stream_decisions, SQL_TRAILING_DECISIONS),
     "stream_decision_totals": (q_stream_decision_totals, SQL_STREAM_DECISION_TOTALS),
+    "stream_features_all": (q_stream_features_all, SQL_FEATURES_ALL),
     "stream_ingest_totals": (q_stream_ingest_totals, SQL_STREAM_INGEST_TOTALS),
     "stream_dlq": (q_stream_dlq, SQL_STREAM_DLQ),
 }

@@ -20,16 +20,17 @@ class BatchSink:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
 
-    def write(self, batch: int, rows: DataFrame, counters: dict[str, Column] | None = None, also: dict | None = None) -> dict:
-        """Write and commit a batch; returns its counters."""
+    def write(self, batch: int, rows: DataFrame, counters: dict[str, Column] | None = None, also: dict | None = None,
+              by: str | None = None) -> dict:
+        """Write and commit a batch, one folder a value of ``by``; returns its counters."""
         target = f"{self.folder}/rows/batch={batch:012d}"
         counted = dict(also or {})
         if counters:
             seen = Observation()
-            rows.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.mode("overwrite").parquet(target)
+            rows = rows.observe(seen, *[c.alias(n) for n, c in counters.items()])
+        rows.write.mode("overwrite").partitionBy(*([by] if by else [])).parquet(target)
+        if counters:
             counted |= seen.get
-        else:
-            rows.write.mode("overwrite").parquet(target)
         self.files.put(f"{self.folder}/manifest/{batch:012d}.json", json.dumps(counted, sort_keys=True))
         return counted
 
