@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from .features import ENTITIES, metric_exprs, window_start
+from .skew import hot_keys, is_broadcast, salted_join
 from .timeline import Trail, attach, occurrences, points, sweep
 
 # Features the rules read: (flat name, entity, metric, window).
@@ -57,22 +58,21 @@ def attach_limits(tx: DataFrame) -> DataFrame:
 
 def _tumbling(tx: DataFrame, distinct: str) -> DataFrame:
     """J8 tumbling: join each transaction to the feature rows of the windows it
-    falls in.  Account 1 h and 24 h metrics are folded into one hourly table
-    first, so the transactions are joined four times (account, ip, device,
-    card) on (key, bucket)."""
-    out = tx
+    falls in: one table for each of the five (entity, window) pairs, joined on
+    (key, bucket), the rows of hot keys dealt over salts."""
     need = {}
     for flat, entity, metric, win in RULE_FEATURES:
         need.setdefault((entity, win), []).append((flat, metric))
+    on = {(entity, win): [ENTITIES[entity].key, f"_b_{entity}_{_SUFFIX[win]}"] for entity, win in need}
+    out = tx.withColumns({bucket: window_start(F.col("event_time"), win) for (_, win), (_, bucket) in on.items()})
+    hot = {} if is_broadcast(tx) else hot_keys(out, {bucket: keys for keys in on.values() for bucket in keys[1:]})
     for (entity, win), items in need.items():
-        ent = ENTITIES[entity]
+        key, bucket = on[entity, win]
         exprs = dict(metric_exprs(entity, distinct))
-        bucket = f"_b_{entity}_{_SUFFIX[win]}"
-        feats = (tx.select(ent.key, "event_time", "amount_rial", "result", "card_pan", "account_number")
-                   .groupBy(F.col(ent.key), window_start(F.col("event_time"), win).alias(bucket))
+        feats = (tx.select(key, "event_time", "amount_rial", "result", "card_pan", "account_number")
+                   .groupBy(F.col(key), window_start(F.col("event_time"), win).alias(bucket))
                    .agg(*[exprs[m].alias(flat) for flat, m in items]))
-        out = (out.withColumn(bucket, window_start(F.col("event_time"), win))
-                  .join(feats, on=[ent.key, bucket], how="left").drop(bucket))
+        out = salted_join(out, feats, [key, bucket], hot.get(bucket, {})).drop(bucket)
     return out
 
 
