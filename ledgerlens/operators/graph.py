@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
+from .skew import hot_keys, is_broadcast, salted_join
 
 EDGE_KEY = ["rel_type", "from_label", "from_id", "to_label", "to_id"]
 OPEN_END_TEXT = "9999-12-31T23:59:59Z"
@@ -162,7 +163,8 @@ def shared_entities(edges: DataFrame, seeds: DataFrame | None = None,
     persons (by conf2 desc, id) can appear in any seed's answer, so those are
     selected per entity first (partial top-k before the shuffle, so a hub
     device or IP costs ``limit + 1`` rows per map task), and each seed then
-    looks at most ``6 * (limit + 1)`` candidates.
+    looks at most ``6 * (limit + 1)`` candidates.  The seeds of a hub entity are
+    dealt over salts.
     """
     e = (_entity_edges(edges).filter(F.col("confidence") >= min_confidence)
          .select(F.col("from_id").alias("person_id"), "to_label", "to_id", "confidence"))
@@ -174,7 +176,9 @@ def shared_entities(edges: DataFrame, seeds: DataFrame | None = None,
              .filter(F.col("_r") <= limit + 1)
              .select(F.col("person_id").alias("related_person"), "to_label", "to_id",
                      F.col("confidence").alias("conf2")))
-    pairs = (seed_edges.join(cand, on=["to_label", "to_id"], how="inner")
+    entity = ["to_label", "to_id"]
+    hot = {} if is_broadcast(e) else hot_keys(seed_edges, {"entity": entity})["entity"]
+    pairs = (salted_join(seed_edges, cand, entity, hot, "inner")
                        .filter(F.col("person_id") != F.col("related_person")))
     per_seed = Window.partitionBy("person_id").orderBy(
         F.col("conf1").desc(), F.col("conf2").desc(), "related_person", "to_label", "to_id")

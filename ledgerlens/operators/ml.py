@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from .ordered import key_rank, last_n
+from .quantile import exact_percentile
 from .timeline import Trail, trailing
 
 SEQ_DIM = config.SEQ_LEN * len(config.SEQUENCE_FEATURES)
@@ -174,14 +175,16 @@ class ReconstructionModel:
         return out.withColumn("recon_error", err).drop("features", "z", "pc")
 
     def fit_threshold(self, normal_df: DataFrame, percentile: float = config.AE_PERCENTILE,
-                      exact: bool = False) -> float:
-        """L5 + A11: threshold = percentile of normal errors, from a
-        mergeable sketch of bounded size; ``exact`` keeps every distinct error
-        in one reducer and is for small inputs."""
+                      sketch: bool = False) -> float:
+        """L5 + A11: threshold = percentile of normal errors, interpolated
+        between ranks and exact at any size; ``sketch`` takes a value near it
+        from one scan."""
         e = self.errors(normal_df)
-        agg = (F.percentile("recon_error", percentile / 100.0) if exact
-               else F.percentile_approx("recon_error", percentile / 100.0, 10000))
-        self.threshold = float(e.agg(agg.alias("t")).first()["t"])
+        if sketch:
+            found = e.agg(F.percentile_approx("recon_error", percentile / 100.0, 10000)).first()[0]
+        else:
+            found = exact_percentile(e, "recon_error", percentile / 100.0)
+        self.threshold = float(found)
         return self.threshold
 
     def anomaly(self, seq_df: DataFrame) -> DataFrame:

@@ -44,14 +44,14 @@ def hot_keys(df: DataFrame, joins: dict[str, list[str]]) -> dict[str, dict[int,
             for name in joins}
 
 
-def salted_join(rows: DataFrame, each: DataFrame, on: list[str], hot: dict[int, int]) -> DataFrame:
-    """``rows`` left-joined with ``each``, which has one row a key."""
+def salted_join(rows: DataFrame, each: DataFrame, on: list[str], hot: dict[int, int], how: str = "left") -> DataFrame:
+    """``rows`` joined (left or inner) with ``each``, which has few rows a key."""
     if not hot:
-        return rows.join(each, on, "left")
+        return rows.join(each, on, how)
     salts = F.create_map(*[x for h, n in hot.items() for x in (F.lit(h).cast("bigint"), F.lit(n))])
     many = F.coalesce(salts[key_hash(on)], F.lit(1))
     # a salt that depends on the row alone: a task that runs again deals alike
     own = [c.name for c in rows.schema.fields if c.dataType.typeName() not in ("map", "variant")]
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), *own), many).cast("int"))
     right = each.withColumn("_salt", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
