@@ -107,17 +107,35 @@ def account_risk_status(decisions: DataFrame) -> DataFrame:
     )
 
 
+def flagged(decisions: DataFrame) -> DataFrame:
+    """The decisions that flag their account: blocked, high or critical."""
+    return decisions.filter(F.col("should_block") | F.col("risk_level").isin("high", "critical"))
+
+
+def flag_times(hits: DataFrame) -> DataFrame:
+    """Per account of flagging decisions: how many, the first and the last."""
+    return hits.groupBy("account_id").agg(F.count(F.lit(1)).alias("flagged_count"),
+                                          F.min("event_time").alias("first_flagged"),
+                                          F.max("event_time").alias("last_flagged"))
+
+
+def flag_codes(hits: DataFrame) -> DataFrame:
+    """The distinct (account, alert code) of flagging decisions."""
+    codes = F.transform("top_alerts", lambda a: a["code"])
+    return hits.select("account_id", F.explode(codes).alias("code")).distinct()
+
+
+def with_reasons(times: DataFrame, codes: DataFrame) -> DataFrame:
+    per_account = codes.groupBy("account_id").agg(F.sort_array(F.collect_set("code")).alias("reasons"))
+    none = F.array().cast("array<string>")
+    return times.join(per_account, "account_id", "left").withColumn("reasons", F.coalesce("reasons", none))
+
+
 def blocked_accounts(decisions: DataFrame) -> DataFrame:
     """M6: accounts with a high/critical or blocked decision, with the
     distinct alert codes behind them and first/last flag time."""
-    flagged = decisions.filter(F.col("should_block") | F.col("risk_level").isin("high", "critical"))
-    codes = flagged.select("account_id", "event_time", F.explode_outer(F.transform("top_alerts", lambda a: a["code"]))
-                           .alias("code"))
-    per_code = codes.groupBy("account_id").agg(F.sort_array(F.collect_set("code")).alias("reasons"))
-    times = flagged.groupBy("account_id").agg(F.count(F.lit(1)).alias("flagged_count"),
-                                              F.min("event_time").alias("first_flagged"),
-                                              F.max("event_time").alias("last_flagged"))
-    return times.join(per_code, "account_id", "left")
+    hits = flagged(decisions)
+    return with_reasons(flag_times(hits), flag_codes(hits))
 
 
 def account_holders(tx: DataFrame) -> DataFrame:

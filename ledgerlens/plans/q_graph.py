@@ -89,10 +89,16 @@ _PERSON_TX = "transaction_id || '_person'"
 SQL_GRAPH_EDGES = O.with_tx(_AGG_EDGES, _edge_events_sql(_PERSON_TX))
 SQL_GRAPH_MERGE = O.with_tx(_AGG_EDGES, _edge_events_sql("national_code"))
 
-SQL_GRAPH_NODES = O.with_tx(
-    "SELECT DISTINCT label, id FROM (SELECT 'Person' AS label, " + _PERSON_TX + " AS id FROM tx UNION ALL "
-    + " UNION ALL ".join(f"SELECT '{label}' AS label, {col} AS id FROM tx" for _, label, col in config.RELATIONS)
-    + ") WHERE id IS NOT NULL")
+
+def _nodes_sql(person: str) -> str:
+    return O.with_tx(
+        f"SELECT DISTINCT label, id FROM (SELECT 'Person' AS label, {person} AS id FROM tx UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{label}' AS label, {col} AS id FROM tx" for _, label, col in config.RELATIONS)
+        + ") WHERE id IS NOT NULL")
+
+
+SQL_GRAPH_NODES = _nodes_sql(_PERSON_TX)
+SQL_GRAPH_NODES_BY_CODE = _nodes_sql("national_code")
 
 SQL_GRAPH_CLEANUP = O.with_tx(f"""
 , nodes AS (SELECT DISTINCT label, id FROM (

@@ -65,13 +65,16 @@ def q_account_risk_status(spark, sf):
     return M.account_risk_status(decisions_frame(spark, sf))
 
 
-def q_blocked_accounts(spark, sf):
-    b = M.blocked_accounts(decisions_frame(spark, sf))
+def _blocked(b):
     return b.select("account_id", "flagged_count", F.col("first_flagged").cast(NTZ).alias("first_flagged"),
                     F.col("last_flagged").cast(NTZ).alias("last_flagged"),
                     F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), ",").alias("reasons"))
 
 
+def q_blocked_accounts(spark, sf):
+    return _blocked(M.blocked_accounts(decisions_frame(spark, sf)))
+
+
 def q_account_holders(spark, sf):
     h = M.account_holders(TD.transactions(spark, sf))
     out = [F.col("account_number")]
@@ -128,7 +131,7 @@ SQL_RISK_TIMELINE = _decisions_sql(f"""
 SELECT transaction_id, event_time, risk_score, risk_level FROM decided
 ORDER BY event_time DESC, transaction_id DESC LIMIT {config.TIMELINE_LIMIT}""")
 
-SQL_ACCOUNT_RISK_STATUS = _decisions_sql("""
+ACCOUNT_RISK_STATUS = """
 SELECT account_number AS account_id,
   arg_max(risk_level, (event_time, transaction_id)) AS latest_level,
   arg_max(risk_score, (event_time, transaction_id)) AS latest_score,
@@ -136,16 +139,18 @@ SELECT account_number AS account_id,
   max(risk_score) AS max_score, count(*) AS tx_count,
   count(*) FILTER (WHERE should_block) AS blocked_count,
   count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS high_risk_count
-FROM decided GROUP BY account_number""")
+FROM decided GROUP BY account_number"""
+SQL_ACCOUNT_RISK_STATUS = _decisions_sql(ACCOUNT_RISK_STATUS)
 
-SQL_BLOCKED_ACCOUNTS = _decisions_sql(f"""
+BLOCKED_ACCOUNTS = f"""
 , {_TOP.strip()},
 flagged AS (SELECT * FROM decided WHERE should_block OR risk_level IN ('high', 'critical')),
 reasons AS (SELECT f.account_number, string_agg(DISTINCT top.code, ',' ORDER BY top.code) AS reasons
             FROM flagged f JOIN top USING (transaction_id) GROUP BY f.account_number)
 SELECT f.account_number AS account_id, count(*) AS flagged_count, min(f.event_time) AS first_flagged,
        max(f.event_time) AS last_flagged, coalesce(any_value(r.reasons), '') AS reasons
-FROM flagged f LEFT JOIN reasons r USING (account_number) GROUP BY f.account_number""")
+FROM flagged f LEFT JOIN reasons r USING (account_number) GROUP BY f.account_number"""
+SQL_BLOCKED_ACCOUNTS = _decisions_sql(BLOCKED_ACCOUNTS)
 
 SQL_ACCOUNT_HOLDERS = _decisions_sql("""
 SELECT account_number,

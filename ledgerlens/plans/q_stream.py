@@ -17,11 +17,14 @@ from .. import config
 from ..operators import features as FE
 from ..session import scratch_path
 from ..sources import testdata as TD
+from ..streaming import maintained as MT
 from ..streaming import pipelines as S
 from ..streaming import rollups as RS
 from ..streaming.sinks import BatchSink, totals
 from ..streaming.state import Files
 from .q_core import SQL_FEATURES_ALL, SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, rounded_features, sql_features
+from .q_graph import SQL_GRAPH_MERGE, SQL_GRAPH_NODES_BY_CODE
+from .q_monitor import ACCOUNT_RISK_STATUS, BLOCKED_ACCOUNTS, _blocked, _fix
 
 
 STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "account_type",
@@ -30,6 +33,7 @@ STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "
 
 MICRO_BATCHES = 8
 ROLLUP_BATCHES = 4
+BUCKETS = 8  # of the merge logs; a deployment sets as many as make a bucket fit a task
 
 
 def _in_order(spark, folder):
@@ -100,7 +104,8 @@ def _scored_stream(spark, sf):
     run = scratch_path(spark, f"scored-stream-{TD._fingerprint(spark, sf)}")
     stream = _ordered_replay(spark, TD.transactions(spark, sf).select(*STREAM_COLUMNS), "event_time", run)
     sink = os.path.join(run, "decisions")
-    S.start_scoring(stream, sink, os.path.join(run, "state"), os.path.join(run, "ckpt"), trigger={"availableNow": True}).awaitTermination()
+    S.start_scoring(stream, sink, os.path.join(run, "state"), os.path.join(run, "ckpt"), trigger={"availableNow": True},
+                    accounts_path=os.path.join(run, "accounts"), buckets=BUCKETS).awaitTermination()
     return BatchSink(spark, sink)
 
 
@@ -115,6 +120,40 @@ def q_stream_decision_totals(spark, sf):
     return totals(_scored_stream(spark, sf), ["total_tx", "blocked", *config.RISK_LEVELS, "late"])
 
 
+def _account_tables(spark, sf):
+    return MT.account_log(spark, os.path.join(os.path.dirname(_scored_stream(spark, sf).folder), "accounts"), BUCKETS)
+
+
+def q_stream_account_status(spark, sf):
+    """M5 as the scoring stream keeps it, batch by batch."""
+    return MT.account_risk_status(_account_tables(spark, sf))
+
+
+def q_stream_blocked_accounts(spark, sf):
+    """M6 as the scoring stream keeps it, batch by batch."""
+    return _blocked(MT.blocked_accounts(_account_tables(spark, sf)))
+
+
+def _kept_graph(spark, sf):
+    """The graph, one Person a national code, after all transactions came in
+    time order."""
+    run = scratch_path(spark, f"graph-stream-{TD._fingerprint(spark, sf)}")
+    stream = _ordered_replay(spark, TD.transactions(spark, sf).select(*STREAM_COLUMNS), "event_time", run)
+    graph = os.path.join(run, "graph")
+    S.start_graph_upkeep(stream, graph, os.path.join(run, "ckpt"), "national_code", {"availableNow": True}, BUCKETS).awaitTermination()
+    return MT.read_graph(MT.graph_log(spark, graph, BUCKETS))
+
+
+def q_stream_graph(spark, sf):
+    """The edges that micro-batches left in the graph's merge log."""
+    return _kept_graph(spark, sf)[1].drop("last_event_time")
+
+
+def q_stream_graph_nodes(spark, sf):
+    """The nodes beside them."""
+    return _kept_graph(spark, sf)[0]
+
+
 SQL_STREAM_DECISION_TOTALS = _decisions_sql(f"""
 SELECT count(*) AS total_tx, count(*) FILTER (WHERE should_block) AS blocked,
   {", ".join(f"count(*) FILTER (WHERE risk_level = '{x}') AS {x}" for x in config.RISK_LEVELS)},
@@ -166,6 +205,10 @@ def q_stream_features_all(spark, sf):
 QUERIES = {
     "stream_features_card": (q_stream_features_card, sql_features("card")),
     "stream_decisions": (q_stream_decisions, SQL_TRAILING_DECISIONS),
+    "stream_account_status": (q_stream_account_status, _decisions_sql(ACCOUNT_RISK_STATUS, _trailing_ctes())),
+    "stream_blocked_accounts": (q_stream_blocked_accounts, _fix(_decisions_sql(BLOCKED_ACCOUNTS, _trailing_ctes()))),
+    "stream_graph": (q_stream_graph, SQL_GRAPH_MERGE),
+    "stream_graph_nodes": (q_stream_graph_nodes, SQL_GRAPH_NODES_BY_CODE),
     "stream_decision_totals": (q_stream_decision_totals, SQL_STREAM_DECISION_TOTALS),
     "stream_features_all": (q_stream_features_all, SQL_FEATURES_ALL),
     "stream_ingest_totals": (q_stream_ingest_totals, SQL_STREAM_INGEST_TOTALS),

@@ -8,8 +8,8 @@
   sinks from one micro-batch (T7).
 * ``start_scoring`` – each micro-batch is enriched from the feature state and
   itself, ruled, decided and counted (T8).
-* ``start_graph_upkeep`` – each micro-batch is merged into a new graph
-  version; a version per batch id makes replays idempotent (T9).
+* ``start_graph_upkeep`` – each micro-batch adds to the graph's merge log, a
+  manifest per batch id makes replays idempotent (T9).
 
 Every ``foreachBatch`` writer is idempotent per batch id (output folders are
 named by batch id and written with overwrite), so a restarted query that
@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 
 from .. import config
 from ..operators import features as FE
-from ..operators import graph as G
 from ..operators import ingest as IN
 from ..operators.decision import decide
 from ..operators.enrich import attach_limits, attach_trails
 from ..operators.rules import evaluate_rules
+from . import maintained as MT
 from . import trail_state as TS
+from .merge_log import BUCKETS, MergeLog
 from .sinks import BatchSink, write_decisions, write_dlq
 from .state import BatchState
 
@@ -141,9 +142,10 @@ def start_ingest(raw_stream: DataFrame, clean_path: str, dlq_path: str, checkpoi
 
 
 def score_batch(batch: DataFrame, batch_id: int, state: BatchState, sink: BatchSink, ml_scores: DataFrame | None = None,
-                lateness: int = TS.LATENESS) -> None:
+                lateness: int = TS.LATENESS, accounts: MergeLog | None = None) -> None:
     """T8 for one micro-batch: trailing features over state and batch, rules,
-    decisions; then the batch's own rows go into the state."""
+    decisions; then the batch's own rows go into the state.  With ``accounts``
+    the account tables take the decisions in, read back from the sink."""
     state.check(batch_id)
     batch = batch.persist()
     try:
@@ -158,6 +160,8 @@ def score_batch(batch: DataFrame, batch_id: int, state: BatchState, sink: BatchS
         swept = state.kept("features", batch_id, TS.features(batch, state, batch_id, t0, t1))
         featured = attach_trails(batch, {e: TS.of_entity(swept, e) for e in TS.TRAILS})
         write_decisions(sink, batch_id, decide(evaluate_rules(attach_limits(featured)), ml_scores), {"late": late})
+        if accounts is not None:
+            MT.account_batch(accounts, batch_id, sink.batch(batch_id))
         state.write(batch_id, TS.additions(batch), {"newest": newest, "late": late})
         state.fold(batch_id, TS.merges(newest, lateness))
     finally:
@@ -165,51 +169,28 @@ def score_batch(batch: DataFrame, batch_id: int, state: BatchState, sink: BatchS
 
 
 def start_scoring(tx_stream: DataFrame, decisions_path: str, state_path: str, checkpoint: str,
-                  ml_scores: DataFrame | None = None, trigger: dict | None = None, lateness: int = TS.LATENESS):
+                  ml_scores: DataFrame | None = None, trigger: dict | None = None, lateness: int = TS.LATENESS,
+                  accounts_path: str | None = None, buckets: int = BUCKETS):
     """Every transaction is ruled, decided and counted with the trailing
     features of all transactions that came so far.  ``BatchSink.read`` gives
-    the decisions, ``sinks.totals`` the counters."""
+    the decisions, ``sinks.totals`` the counters.  With ``accounts_path`` the
+    account tables (M5, M6) are kept there in so many buckets."""
     def write(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        score_batch(batch, batch_id, BatchState(spark, state_path, TS.SCHEMAS), BatchSink(spark, decisions_path), ml_scores, lateness)
+        accounts = MT.account_log(spark, accounts_path, buckets) if accounts_path else None
+        score_batch(batch, batch_id, BatchState(spark, state_path, TS.SCHEMAS), BatchSink(spark, decisions_path), ml_scores, lateness, accounts)
     return (tx_stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": config.TRIGGER_INTERVAL}))
             .foreachBatch(write).start())
 
 
 def start_graph_upkeep(tx_stream: DataFrame, graph_path: str, checkpoint: str,
-                       person_key: str = "transaction", trigger: dict | None = None):
-    """Graph version ``batch_id + 1`` = version ``batch_id`` + this batch.
-    A replayed batch rewrites the same version from the same inputs, so
-    amounts and counts are never added twice."""
+                       person_key: str = "transaction", trigger: dict | None = None, buckets: int = BUCKETS):
+    """Each micro-batch adds its nodes and edges to the graph's merge log
+    and rewrites only buckets that are due.  ``maintained.read_graph`` gives
+    the graph; a replayed batch changes nothing."""
     def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        if has_previous(spark, graph_path, batch_id):
-            nodes, edges = G.read_graph(spark, graph_path, batch_id)
-        else:
-            nodes, edges = None, None
-        n2, e2 = G.ingest_batch(nodes, edges, batch, person_key)
-        G.write_graph(n2, e2, graph_path, batch_id + 1)
+        MT.upkeep_batch(MT.graph_log(batch.sparkSession, graph_path, buckets), batch_id, batch, person_key)
     return (tx_stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": config.TRIGGER_INTERVAL}))
             .foreachBatch(write).start())
-
-
-def has_previous(spark: SparkSession, graph_path: str, batch_id: int) -> bool:
-    """Whether the graph before this batch is there.  Only batch 0 may start
-    from nothing, and not where later versions stand (version 1 may be its own,
-    of a run that was cut off)."""
-    if _exists(spark, os.path.join(graph_path, f"v={batch_id:08d}")):
-        return True
-    if batch_id > 0:
-        raise FileNotFoundError(f"{graph_path} lacks version {batch_id}, which batch {batch_id} builds on")
-    if _exists(spark, os.path.join(graph_path, "v=00000002")):
-        raise FileExistsError(f"{graph_path} holds a graph of another checkpoint")
-    return False
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))

@@ -37,6 +37,10 @@ class BatchSink:
     def batches(self) -> list[int]:
         return [int(n.removesuffix(".json")) for n in self.files.names(f"{self.folder}/manifest") if n.endswith(".json")]
 
+    def batch(self, batch: int) -> DataFrame:
+        """The rows of one written batch."""
+        return self.spark.read.parquet(f"{self.folder}/rows/batch={batch:012d}")
+
     def read(self, schema=None) -> DataFrame:
         """The rows of all committed batches, with their ``batch`` id."""
         paths = [f"{self.folder}/rows/batch={b:012d}" for b in self.batches()]

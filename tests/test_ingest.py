@@ -130,15 +130,3 @@ def test_iso_forms(spark):
         want = want.replace(tzinfo=None) - (want.utcoffset() if want.tzinfo else timedelta(hours=3, minutes=30))
         assert datetime.fromisoformat(got[t]) == want, t
     assert all(got[t] is None for t in bad)
-
-
-def test_graph_upkeep_refuses_a_lost_version(spark, tmp_path):
-    from ledgerlens.streaming.pipelines import has_previous
-    path = str(tmp_path)
-    assert not has_previous(spark, path, 0)
-    with pytest.raises(FileNotFoundError):
-        has_previous(spark, path, 3)
-    (tmp_path / "v=00000002").mkdir()
-    assert has_previous(spark, path, 2)
-    with pytest.raises(FileExistsError):
-        has_previous(spark, path, 0)
