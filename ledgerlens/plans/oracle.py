@@ -59,3 +59,6 @@ def bucket_sql(ts: str, seconds: int) -> str:
 def with_tx(body: str, *extra_ctes: str) -> str:
     ctes = [tx_cte()] + list(extra_ctes)
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+END_OF_DATA = "(SELECT date_trunc('day', max(event_time)) + INTERVAL 1 DAY FROM tx)"

@@ -479,17 +479,19 @@ SELECT tx.transaction_id, tx.account_number AS account_id, tx.account_type,
 FROM tx LEFT JOIN agg USING (transaction_id)""".replace("\n, agg AS", ",\nagg AS", 1))
 
 
-def _decisions_sql(select: str, features: list[str] | None = None) -> str:
+def _decisions_sql(select: str, features: list[str] | None = None, ml: str = "0.0", scores: str = "") -> str:
+    """Decisions; ``ml`` is the model score, of a table that ``scores`` joins."""
     return _scoring_sql(f"""
 , agg AS (SELECT transaction_id, least(1.0, sum(weight)) AS rs, bool_or(severity = 'high') AS blk,
                  count(*) AS n,
                  array_to_string(list_slice(list(rule_code || ':' || severity ORDER BY sev_rank, rule_code), 1, {config.TOP_ALERTS}), ',') AS top_codes
           FROM alerts_pos GROUP BY transaction_id),
 dec AS (
-  SELECT tx.*, least(1.0, round_even(coalesce(agg.rs, 0.0) * {config.RULE_WEIGHT} + 0.0 * {config.ML_WEIGHT}, 4)) AS risk_score,
+  SELECT tx.*, least(1.0, round_even(coalesce(agg.rs, 0.0) * {config.RULE_WEIGHT} + coalesce({ml}, 0.0) * {config.ML_WEIGHT}, 4)) AS risk_score,
+         round_even(coalesce({ml}, 0.0), 4) AS ml_score,
          coalesce(agg.blk, false) AS rule_block, round_even(coalesce(agg.rs, 0.0), 4) AS rule_score,
          CAST(coalesce(agg.n, 0) AS INTEGER) AS alert_count, coalesce(agg.top_codes, '') AS top_alert_codes
-  FROM tx LEFT JOIN agg USING (transaction_id)),
+  FROM tx LEFT JOIN agg USING (transaction_id) {scores}),
 decided AS (
   SELECT *, CASE WHEN risk_score >= {config.CRITICAL_THRESHOLD} THEN 'critical'
                  WHEN risk_score >= {config.HIGH_THRESHOLD} THEN 'high'
@@ -503,19 +505,22 @@ def decisions_frame(spark, sf) -> DataFrame:
     return score(TD.transactions(spark, sf))
 
 
-def q_risk_decisions(spark, sf):
-    d = decisions_frame(spark, sf)
+def decision_columns(d: DataFrame, *more: str) -> DataFrame:
     return d.select("transaction_id", "account_id", "risk_score", "risk_level", "should_block", "rule_score",
                     "ml_score", "alert_count",
                     F.array_join(F.transform("top_alerts", lambda a: F.concat(a["code"], F.lit(":"), a["severity"])),
-                                 ",").alias("top_alert_codes"))
+                                 ",").alias("top_alert_codes"), *more)
+
+
+def q_risk_decisions(spark, sf):
+    return decision_columns(decisions_frame(spark, sf))
 
 
-_DECISION_COLUMNS = (
+DECISION_COLUMNS = (
     "SELECT transaction_id, account_number AS account_id, risk_score, risk_level, should_block, rule_score, "
     "0.0::DOUBLE AS ml_score, alert_count, top_alert_codes FROM decided")
-SQL_RISK_DECISIONS = _decisions_sql(_DECISION_COLUMNS)
-SQL_TRAILING_DECISIONS = _decisions_sql(_DECISION_COLUMNS, _trailing_ctes())
+SQL_RISK_DECISIONS = _decisions_sql(DECISION_COLUMNS)
+SQL_TRAILING_DECISIONS = _decisions_sql(DECISION_COLUMNS, _trailing_ctes())
 
 
 def q_top_alerts(spark, sf):

@@ -9,7 +9,6 @@ from ..sources import testdata as TD
 from . import oracle as O
 
 MERGE_SPLIT = "2024-01-16 00:00:00"   # first half / second half of the month
-CLEANUP_AS_OF = "2024-01-31 00:00:00"
 CLEANUP_DAYS = 2
 
 
@@ -39,7 +38,7 @@ def q_graph_merge(spark, sf):
 def q_graph_cleanup(spark, sf):
     tx = TD.transactions(spark, sf)
     nodes, edges = G.ingest_batch(None, None, tx)
-    kept_nodes, kept_edges, deleted = G.cleanup_old_nodes(nodes, edges, CLEANUP_AS_OF, CLEANUP_DAYS)
+    kept_nodes, kept_edges, deleted = G.cleanup_old_nodes(nodes, edges, TD.end_of_data(tx), CLEANUP_DAYS)
     kept = kept_nodes.groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
     return (kept.join(deleted, "label", "full_outer")
                 .select("label", F.coalesce("kept", F.lit(0)).alias("kept"),
@@ -108,7 +107,7 @@ last_use AS (SELECT to_label AS label, to_id AS id, max(event_time) AS last_time
              WHERE rel_type IN ('USES_IP', 'USES_DEVICE') GROUP BY ALL),
 doomed AS (SELECT n.label, n.id FROM nodes n LEFT JOIN last_use u ON n.label = u.label AND n.id = u.id
            WHERE n.label IN ('IP', 'Device')
-             AND (u.last_time IS NULL OR u.last_time <= TIMESTAMP '{CLEANUP_AS_OF}' - INTERVAL {CLEANUP_DAYS} DAYS)),
+             AND (u.last_time IS NULL OR u.last_time <= {O.END_OF_DATA} - INTERVAL {CLEANUP_DAYS} DAYS)),
 kept AS (SELECT label, count(*) AS kept FROM nodes WHERE (label, id) NOT IN (SELECT (label, id) FROM doomed)
          GROUP BY label),
 del AS (SELECT label, count(*) AS deleted FROM doomed GROUP BY label)

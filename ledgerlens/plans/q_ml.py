@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import ml as ML
+from ..operators.ml_scoring import SCORES, ScoringModels, fit_models, model_inputs
+from ..session import scratch_path
 from ..sources import testdata as TD
 from . import oracle as O
+from .q_core import DECISION_COLUMNS, _decisions_sql, _feature_ctes, decision_columns
+from .scoring import score
 
-PROFILE_AS_OF = "2024-01-31 00:00:00"
 KEY = "national_code"
 
 
@@ -39,7 +42,8 @@ def q_behavioral_30d(spark, sf):
 
 
 def q_behavioral_profile(spark, sf):
-    b = ML.behavioral_profile(TD.transactions(spark, sf), PROFILE_AS_OF, KEY)
+    tx = TD.transactions(spark, sf)
+    b = ML.behavioral_profile(tx, TD.end_of_data(tx), KEY)
     return b.select(KEY, *_beh_round(b))
 
 
@@ -76,7 +80,8 @@ def q_ml_anomaly(spark, sf):
 
 
 def q_ml_profiles(spark, sf):
-    b = ML.behavioral_profile(TD.transactions(spark, sf), PROFILE_AS_OF, KEY)
+    tx = TD.transactions(spark, sf)
+    b = ML.behavioral_profile(tx, TD.end_of_data(tx), KEY)
     p = ML.fit_profiles(b)
     return p.profile(b).select(KEY, "cluster", "profile_name", "distance", "behavioral_anomaly",
                                "behavioral_score")
@@ -134,21 +139,48 @@ SELECT {KEY},
   round(CASE WHEN count(*) > 1 THEN (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 3600000000.0
              / (count(*) - 1) END, 6) AS avg_tx_gap_hours_30d
 FROM tx
-WHERE event_time >= TIMESTAMP '{PROFILE_AS_OF}' - INTERVAL 30 DAYS AND event_time < TIMESTAMP '{PROFILE_AS_OF}'
+WHERE event_time >= {O.END_OF_DATA} - INTERVAL 30 DAYS AND event_time < {O.END_OF_DATA}
 GROUP BY {KEY}""")
 
 _W = config.ML_WEIGHTS
-SQL_ML_COMBINE = O.with_tx(f"""
-, s AS (SELECT transaction_id, amount_rial_norm AS l,
+_SCORED_CTES = [f"""
+s AS (SELECT transaction_id, amount_rial_norm AS l,
                CASE WHEN channel <> 'view' THEN ip_confidence / 2 END AS a,
-               CASE WHEN result <> 'FAILED' THEN CAST(hour(event_time) AS DOUBLE) / 23 END AS b FROM f),
+               CASE WHEN result <> 'FAILED' THEN CAST(hour(event_time) AS DOUBLE) / 23 END AS b FROM f)""", f"""
 c AS (SELECT transaction_id,
         0.0 + coalesce(l * {_W['lstm']}, 0.0) + coalesce(a * {_W['autoencoder']}, 0.0) + coalesce(b * {_W['behavioral']}, 0.0) AS total,
         0.0 + CASE WHEN l IS NOT NULL THEN {_W['lstm']} ELSE 0.0 END + CASE WHEN a IS NOT NULL THEN {_W['autoencoder']} ELSE 0.0 END
-            + CASE WHEN b IS NOT NULL THEN {_W['behavioral']} ELSE 0.0 END AS wsum FROM s)
-SELECT transaction_id, round_even(least(1.0, CASE WHEN wsum > 0 THEN total / wsum ELSE 0.0 END), 4) AS ml_score,
-       round_even(least(1.0, CASE WHEN wsum > 0 THEN total / wsum ELSE 0.0 END), 4) >= 0.5 AS ml_is_anomaly
-FROM c""".replace("\n, s AS", ",\ns AS", 1), _FEATS_SQL)
+            + CASE WHEN b IS NOT NULL THEN {_W['behavioral']} ELSE 0.0 END AS wsum FROM s)""", """
+combined AS (SELECT transaction_id, round_even(least(1.0, CASE WHEN wsum > 0 THEN total / wsum ELSE 0.0 END), 4) AS ml FROM c)"""]
+
+SQL_ML_COMBINE = O.with_tx("SELECT transaction_id, ml AS ml_score, ml >= 0.5 AS ml_is_anomaly FROM combined",
+                           _FEATS_SQL, *_SCORED_CTES)
+
+
+def q_risk_decisions_scored(spark, sf):
+    """Decisions with model scores by transaction id."""
+    tx = TD.transactions(spark, sf)
+    scores = ML.combine_scores(_synthetic_scores(ML.sequence_features(tx)))
+    scores = scores.select("transaction_id", "ml_score", "lstm_score", "ae_score", "behavioral_score")
+    return decision_columns(score(tx, scores))
+
+
+SQL_RISK_DECISIONS_SCORED = _decisions_sql(
+    DECISION_COLUMNS.replace("0.0::DOUBLE AS ml_score", "ml_score"), [*_feature_ctes(), _FEATS_SQL, *_SCORED_CTES],
+    ml="combined.ml", scores="LEFT JOIN combined USING (transaction_id)")
+
+
+def q_ml_decisions(spark, sf):
+    """The models fitted on the transactions (a failed one is
+    label 1), kept and loaded again (S8), every transaction decided with its scores."""
+    tx = TD.transactions(spark, sf)
+    path = scratch_path(spark, f"models-{TD._fingerprint(spark, sf)}")
+    model_inputs(tx, KEY).write.mode("overwrite").parquet(path + "/inputs")
+    inputs = spark.read.parquet(path + "/inputs")
+    behavior = ML.behavioral_profile(tx, TD.end_of_data(tx), KEY)
+    fit_models(inputs, F.col("result") == "FAILED", behavior, max_iter=20).save(spark, path)
+    scored = ScoringModels.load(spark, path).apply(inputs).select(*tx.columns, *SCORES)
+    return decision_columns(score(scored), "lstm_score", "ae_score", "behavioral_score", "profile_name")
 
 
 QUERIES = {
@@ -157,6 +189,8 @@ QUERIES = {
     "behavioral_30d": (q_behavioral_30d, SQL_BEHAVIORAL_30D),
     "behavioral_profile": (q_behavioral_profile, SQL_BEHAVIORAL_PROFILE),
     "ml_combine": (q_ml_combine, SQL_ML_COMBINE),
+    "risk_decisions_scored": (q_risk_decisions_scored, SQL_RISK_DECISIONS_SCORED),
+    "ml_decisions": (q_ml_decisions, None),
     "ml_sequence_probability": (q_ml_sequence_probability, None),
     "ml_anomaly": (q_ml_anomaly, None),
     "ml_profiles": (q_ml_profiles, None),

@@ -20,9 +20,11 @@ from ..sources import testdata as TD
 from ..streaming import maintained as MT
 from ..streaming import pipelines as S
 from ..streaming import rollups as RS
+from ..streaming.polling import poll
 from ..streaming.sinks import BatchSink, totals
 from ..streaming.state import Files
-from .q_core import SQL_FEATURES_ALL, SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, rounded_features, sql_features
+from . import oracle as O
+from .q_core import SQL_FEATURES_ALL, SQL_TRAILING_DECISIONS, _decisions_sql, _sql_ingest, _trailing_ctes, decision_columns, rounded_features, sql_features
 from .q_graph import SQL_GRAPH_MERGE, SQL_GRAPH_NODES_BY_CODE
 from .q_monitor import ACCOUNT_RISK_STATUS, BLOCKED_ACCOUNTS, _blocked, _fix
 
@@ -90,13 +92,6 @@ def q_stream_features_card(spark, sf):
     return rounded_features(flat)
 
 
-def _decision_columns(d):
-    return d.select("transaction_id", "account_id", "risk_score", "risk_level", "should_block", "rule_score",
-                    "ml_score", "alert_count",
-                    F.array_join(F.transform("top_alerts", lambda a: F.concat(a["code"], F.lit(":"), a["severity"])),
-                                 ",").alias("top_alert_codes"))
-
-
 def _scored_stream(spark, sf):
     """The decisions sink after all transactions came in time order.  Source,
     state, sink and checkpoint stay in one folder: a second run goes on where
@@ -112,7 +107,7 @@ def _scored_stream(spark, sf):
 def q_stream_decisions(spark, sf):
     """Decisions of a stream in micro-batches, with the trailing features of
     all transactions up to each one."""
-    return _decision_columns(_scored_stream(spark, sf).read())
+    return decision_columns(_scored_stream(spark, sf).read())
 
 
 def q_stream_decision_totals(spark, sf):
@@ -179,6 +174,20 @@ def q_stream_dlq(spark, sf):
     return _ingested_stream(spark, sf)[1].read().select("transaction_id", "raw_payload", "error", "source")
 
 
+PAGE_ROWS = 4096
+
+
+def q_ingest_pages(spark, sf):
+    """The clean table polled in pages after a cursor, with each row's page."""
+    sink = BatchSink(spark, scratch_path(spark, f"pages-{TD._fingerprint(spark, sf)}"))
+    poll(TD.transactions(spark, sf), sink, PAGE_ROWS)
+    return sink.read().select(F.col("batch").cast("bigint").alias("page"), "transaction_id", "timestamp_utc", "amount_rial")
+
+
+SQL_INGEST_PAGES = O.with_tx(f"""
+SELECT (row_number() OVER (ORDER BY timestamp_utc, transaction_id) - 1) // {PAGE_ROWS} AS page,
+  transaction_id, timestamp_utc, amount_rial FROM tx""")
+
 SQL_STREAM_INGEST_TOTALS = _sql_ingest(f"""
 SELECT count(*) FILTER (WHERE error IS NULL) AS ok, count(*) FILTER (WHERE error IS NOT NULL) AS dlq,
   {MICRO_BATCHES}::BIGINT AS batches FROM judged""")
@@ -203,6 +212,7 @@ def q_stream_features_all(spark, sf):
 
 
 QUERIES = {
+    "ingest_pages": (q_ingest_pages, SQL_INGEST_PAGES),
     "stream_features_card": (q_stream_features_card, sql_features("card")),
     "stream_decisions": (q_stream_decisions, SQL_TRAILING_DECISIONS),
     "stream_account_status": (q_stream_account_status, _decisions_sql(ACCOUNT_RISK_STATUS, _trailing_ctes())),

@@ -176,3 +176,9 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             if not fs.exists(jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")):
                 target = tmp
     return spark.read.parquet(target)
+
+
+def end_of_data(tx: DataFrame) -> str | None:
+    """The midnight after the newest event, as text (None: no events)."""
+    end = F.date_trunc("day", F.max("event_time")) + F.expr("INTERVAL 1 DAY")
+    return tx.agg(end.cast("string")).first()[0]
