@@ -6,18 +6,18 @@ only, and so on.  A rank directory (number of set bits before every 512th
 position) turns a position at one level into its position at the next, so any
 id is read with one look at each level and no block is decoded.
 
-Files: ``write`` sorts the texts by document id with a range shuffle; each
-task encodes its sorted texts and writes segments, one row of a Parquet file
-each, as Parquet is what Spark can write to every store.  A segment holds the
-codes of whole documents (``blob``), their ids (``doc_ids``), its place
+Files: ``write`` sorts the texts by document id with a range shuffle (texts
+of one id by their hash, so one id may lie in several tasks); each task
+encodes its sorted texts and writes segments, one row of a Parquet file each,
+as Parquet is what Spark can write to every store.  A segment holds the codes of whole documents (``blob``), their ids (``doc_ids``), its place
 (``part``, ``seg``) and the number of tokens before it in its part
 (``before``).  ``read`` adds the number of tokens in earlier parts (one number
 a part) and addresses each document in its segment.
 
 Cases: null and empty texts are documents of the end id alone; null document
 ids sort first; repeated ids and rows are documents of their own, ordered by
-text; a text of any length is one document in one segment; an empty table
-gives files without segments and reads back empty.
+a hash of the text, then the text; a text of any length is one document in one
+segment; an empty table gives files without segments and reads back empty.
 """
 from __future__ import annotations
 
@@ -31,6 +31,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +160,7 @@ class Ids:
         probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b.", "\u095f?", "\u09dd:", "q\u095d."]
         self.apart = (self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
                       and self.encode("azAZ naive") == self.encode("azaz naive")
+                      and not any(t.isalpha() for t in self.added)
                       and self.plain.encode("azaz naive").ids == self.tokenizer.encode("azaz naive", add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
@@ -179,7 +181,8 @@ class Ids:
         for w, enc in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             known[w] = np.array(enc.ids, dtype="<u4").tobytes()
         for w, s, e in zip(words, stems, ends):
-            known[w] = known[s] + known[e]
+            if w is not s:
+                known[w] = known[s] + known[e]
 
     def folded(self, word: str) -> str:
         """An ASCII word in lower case; one that holds an added token, in any
@@ -210,15 +213,32 @@ class Ids:
         return self.of_words(texts)
 
     def of_words(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            here = set().union(*cut)  # the common words are among these
-            self.known = {"": b""} | {w: self.known[w] for w in here if w in self.known}
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
+        """Each distinct word is looked up once (one of ASCII letters in lower
+        case and without its stop); the ids of all places are then gathered
+        from those of the distinct ones."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        simple = pc.match_substring_regex(words.dictionary, f"^[A-Za-z]+[{STOPS}]?$")
+        low = pc.if_else(simple, pc.ascii_lower(words.dictionary), words.dictionary)
+        stems = pc.if_else(simple, pc.ascii_rtrim(low, STOPS), low)
+        whole = pc.equal(pc.binary_length(stems), pc.binary_length(low))
+        units = pa.concat_arrays([stems, pc.if_else(whole, "", pc.utf8_slice_codeunits(low, -1)).cast(stems.type)]).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > REMEMBERED:  # the common words are among these
+            self.known = {"": b""} | {w: self.known[w] for w in distinct if w in self.known}
+        new = [w for w in distinct if w not in self.known]
         if new:
             self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        pieces = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        at = units.indices.to_numpy().reshape(2, -1)[:, words.indices.to_numpy()].T.ravel()  # stem, stop, stem, ...
+        first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        raw, places = ids.tobytes(), (4 * ends[2 * cut.offsets.to_numpy()]).tolist()
+        return [raw[lo:hi] for lo, hi in zip(places, places[1:])]
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -282,7 +302,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, key:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(f"`{key}`").cast("bigint").alias("id"),
                      F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    order = ["id", F.xxhash64("text")]  # many texts of one id are spread over tasks; the sample holds no texts
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(segments(tokenizer, end_id, segment_tokens), SEGMENTS).write.parquet(path)
 
 

@@ -137,6 +137,22 @@ def test_token_files_round_trip(spark):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_token_files_of_one_id_lie_in_many_tasks(spark):
+    from tokenizers import Tokenizer
+    path, lib = vocabulary(q_text.WORDS), Tokenizer.from_file(vocabulary(q_text.WORDS))
+    rows = [(7, f"Text {i}, once more.") for i in range(600)] + [(i, "x") for i in (3, 9)] + [(None, f"lost {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    folder = scratch(spark, "token-files")
+    token_files.write(df, folder, path, 2, segment_tokens=50)
+    segments = spark.read.parquet(folder)
+    assert segments.where(F.array_contains("doc_ids", 7)).select("part").distinct().count() > 1
+    got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + [3] + [7] * 600 + [9]
+    assert [r.start for r in got] == [0, *np.cumsum([len(r.ids) for r in got]).tolist()[:-1]]
+    want = [lib.encode(t, add_special_tokens=False).ids + [2] for _, t in rows]
+    assert sorted(r.ids for r in got) == sorted(want)
+
+
 def brute_hits(text, items, window=10):
     own, hit, found = decontaminate.words(text), set(), set()
     for item, t in items:
