@@ -45,8 +45,11 @@ EVERY = 512  # positions between entries of a rank directory
 REMEMBERED, JOINED, LONG = 400_000, 1_000, 1 << 20
 #: Tokens after which a segment is closed.
 SEGMENT_TOKENS = 1 << 20
-#: Marks that stand apart when they follow a letter or digit.
-STOPS = ".,;:!?"
+#: Marks a run of which stands apart when it follows a letter or digit and ends
+#: the word (neither the quote nor the marks of special strings).
+STOPS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SIMPLE = f"^[A-Za-z]+[{re.escape(STOPS)}]*$"
 SEGMENTS = "part int, seg int, before bigint, n_tokens bigint, doc_ids array<bigint>, blob binary"
 
 
@@ -157,7 +160,8 @@ class Ids:
         self.finishes[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         # a word must give the same ids alone and between others
-        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b.", "\u095f?", "\u09dd:", "q\u095d."]
+        probe = ["naïve", "Zoë's", "x1.", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>b.", "end!!", "Zoë$$$", "a.)", "_b-c_",
+                 "\u095f?", "\u09dd:", "q\u095d."]
         self.apart = (self.encode(" ".join(probe)) == b"".join(self.encode(p) for p in probe)
                       and self.encode("azAZ naive") == self.encode("azaz naive")
                       and not any(t.isalpha() for t in self.added)
@@ -168,11 +172,14 @@ class Ids:
 
     def learn(self, words: list[str]) -> None:
         known = self.known
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        self.together(self.plain, plain)
+        words = [w for w in words if w not in known]
         low = [self.folded(w) if w.isascii() and not w.islower() else w for w in words]
         # a letter that normalising takes apart may leave a mark that joins the stop
-        ends = [w[-1] if w[-1] in STOPS and w[-2:-1].lower().isalnum() and (w.isascii() or is_normalized("NFC", w)) else ""
-                for w in low]
-        stems = [w[:len(w) - len(e)] for w, e in zip(low, ends)]
+        stems = [w.rstrip(STOPS) if w[-1] in STOPS and (w.isascii() or is_normalized("NFC", w)) else w for w in low]
+        stems = [s if s[-1:].lower().isalnum() else w for s, w in zip(stems, low)]
+        ends = [w[len(s):] for w, s in zip(low, stems)]
         new = list({*stems, *ends} - known.keys())
         letters = [w for w in new if w.isalpha()]
         self.together(self.plain, [w for w in letters if w.isascii()])
@@ -214,17 +221,17 @@ class Ids:
 
     def of_words(self, texts: list[str]) -> list[bytes]:
         """Each distinct word is looked up once (one of ASCII letters in lower
-        case and without its stop); the ids of all places are then gathered
+        case and without its stops); the ids of all places are then gathered
         from those of the distinct ones."""
         if not texts:
             return []
         cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         words = cut.flatten().dictionary_encode()
-        simple = pc.match_substring_regex(words.dictionary, f"^[A-Za-z]+[{STOPS}]?$")
+        simple = pc.match_substring_regex(words.dictionary, SIMPLE)
         low = pc.if_else(simple, pc.ascii_lower(words.dictionary), words.dictionary)
         stems = pc.if_else(simple, pc.ascii_rtrim(low, STOPS), low)
-        whole = pc.equal(pc.binary_length(stems), pc.binary_length(low))
-        units = pa.concat_arrays([stems, pc.if_else(whole, "", pc.utf8_slice_codeunits(low, -1)).cast(stems.type)]).dictionary_encode()
+        stops = pc.if_else(simple, pc.ascii_ltrim(low, LETTERS), "")
+        units = pa.concat_arrays([stems, stops.cast(stems.type)]).dictionary_encode()
         distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:  # the common words are among these
             self.known = {"": b""} | {w: self.known[w] for w in distinct if w in self.known}
@@ -233,7 +240,7 @@ class Ids:
             self.learn(new)
         pieces = list(map(self.known.__getitem__, distinct))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        at = units.indices.to_numpy().reshape(2, -1)[:, words.indices.to_numpy()].T.ravel()  # stem, stop, stem, ...
+        at = units.indices.to_numpy().reshape(2, -1)[:, words.indices.to_numpy()].T.ravel()  # stem, stops, stem, ...
         first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
         ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]

@@ -83,6 +83,20 @@ def test_token_ids_of_every_letter_before_a_stop():
     assert wrong == []
 
 
+def test_token_ids_of_runs_of_marks():
+    from tokenizers import Tokenizer
+    path = vocabulary(q_text.WORDS)
+    lib, encode, rng = Tokenizer.from_file(path), token_files.Ids(path), random.Random(5)
+    own = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    heads = ["Word", "WORD", "word9", "Zoë", "ÉTÉ", "naïve", "日本", "e\u0301", "\u095f", "don't", "'s", "x<|endoftext|>", "<|", "½", ""]
+    texts = [rng.choice(heads) + "".join(rng.choices(own, k=rng.randint(0, 4))) + rng.choice(["", "", " x", "s", "\u0301", "\t."])
+             for _ in range(12000)]
+    assert encode.apart
+    wrong = [t for t, raw, enc in zip(texts, encode(texts), lib.encode_batch(texts, add_special_tokens=False))
+             if np.frombuffer(raw, "<u4").tolist() != enc.ids]
+    assert wrong == []
+
+
 def test_token_ids_of_special_strings_in_any_case():
     from tokenizers import Tokenizer
     path = vocabulary(q_text.WORDS)
