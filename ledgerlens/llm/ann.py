@@ -18,7 +18,7 @@ smaller id; rows that repeat an id count once (their best score); a query that
 the tables lead to fewer than ``nearest`` vectors is compared exactly, in
 blocks, with all vectors of its length, so it gets ``nearest`` rows or, if
 there are fewer candidates, all of them; without queries or candidates there
-are no rows.
+are no rows; further columns, whatever their names, take no part.
 """
 from __future__ import annotations
 

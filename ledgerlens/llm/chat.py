@@ -20,7 +20,8 @@ error; a parent that is not a call of the conversation is ignored;
 calls on a cycle, or behind one, have no level and are marked; arguments that
 are null or no JSON object are errors, with canonical text null; null call
 ids are no calls; calls with the same id in a conversation: the one of the
-smallest turn counts; an empty table gives no rows.
+smallest turn counts; further columns, whatever their names, take no part; an
+empty table gives no rows.
 """
 from __future__ import annotations
 

@@ -19,8 +19,10 @@ one slice at a time; disk grows by the documents with every further pass.
 Cases: null texts and texts without words have no words and no hits; null item
 texts and items without words occur nowhere; items with a null id are searched
 like others, and only their id is left out of ``items``; repeated items count
-each id once; overlapping occurrences cover a word once; an empty table on either side
-gives rows without hits or no rows.
+each id once; overlapping occurrences cover a word once; a text of any length
+is searched whole, in one task; further columns of the documents, whatever
+their names, stay inside ``key``; an empty table on either side gives rows
+without hits or no rows.
 """
 from __future__ import annotations
 

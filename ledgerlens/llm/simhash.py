@@ -14,8 +14,9 @@ written to the shared checkpoint folder.
 
 Cases: null and empty texts have fingerprint zero and link like any other;
 null document ids take part and never become a component id (a component of
-such rows alone has a null id); repeated rows get the same component; an empty
-table gives an empty table.
+such rows alone has a null id); repeated rows get the same component; a text
+of any length is read whole, its shingles hashed in parts; an empty table
+gives an empty table.
 """
 from __future__ import annotations
 

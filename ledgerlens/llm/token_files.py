@@ -17,7 +17,8 @@ a part) and addresses each document in its segment.
 Cases: null and empty texts are documents of the end id alone; null document
 ids sort first; repeated ids and rows are documents of their own, ordered by
 a hash of the text, then the text; a text of any length is one document in one
-segment; an empty table gives files without segments and reads back empty.
+segment; further columns, whatever their names, take no part; an empty table
+gives files without segments and reads back empty.
 """
 from __future__ import annotations
 
