@@ -181,7 +181,7 @@ def q_ingest_pages(spark, sf):
     """The clean table polled in pages after a cursor, with each row's page."""
     sink = BatchSink(spark, scratch_path(spark, f"pages-{TD._fingerprint(spark, sf)}"))
     poll(TD.transactions(spark, sf), sink, PAGE_ROWS)
-    return sink.read().select(F.col("batch").cast("bigint").alias("page"), "transaction_id", "timestamp_utc", "amount_rial")
+    return sink.read().select("page", "transaction_id", "timestamp_utc", "amount_rial")
 
 
 SQL_INGEST_PAGES = O.with_tx(f"""
