@@ -3,9 +3,10 @@
 The transactions derived from the driver tables are written once to a
 folder under the shared checkpoint directory and replayed as a file stream
 with ``availableNow``; the results must equal the batch twin.  Replays in time
-order hand over one file, a range of times, a micro-batch."""
+order hand over a range of times a micro-batch."""
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from functools import reduce
@@ -35,6 +36,7 @@ STREAM_COLUMNS = [f.name for f in S.NORMALIZED_SCHEMA.fields] + ["event_time", "
 
 MICRO_BATCHES = 8
 ROLLUP_BATCHES = 4
+FILE_ROWS = 32_768
 BUCKETS = 8  # of the merge logs; a deployment sets as many as make a bucket fit a task
 
 
@@ -52,13 +54,17 @@ def _in_order(spark, folder):
 
 def _ordered_replay(spark, rows, order, run, batches=MICRO_BATCHES):
     """Stream of ``rows``, written under ``run`` in as many ranges of
-    ``order`` as batches unless a run before did."""
+    ``order`` as batches unless a run before did.  A range is cut into files of
+    about ``FILE_ROWS`` rows, as one file is read by one task; a micro-batch
+    takes the files of one range."""
     source = os.path.join(run, "source")
     if not Files(spark).exists(os.path.join(source, "_SUCCESS")):
-        rows.repartitionByRange(batches, order).write.mode("overwrite").parquet(source)
+        files = max(1, math.ceil(rows.count() / (batches * FILE_ROWS)))
+        rows.repartitionByRange(batches * files, order).write.mode("overwrite").parquet(source)
         _in_order(spark, source)
+    written = sum(n.startswith("part-") for n in Files(spark).names(source))
     schema = spark.read.parquet(source).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, math.ceil(written / batches))).parquet(source)
 
 
 def _replay_source(spark, sf):
