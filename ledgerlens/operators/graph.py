@@ -18,6 +18,8 @@ from .skew import hot_keys, is_broadcast, salted_join
 
 EDGE_KEY = ["rel_type", "from_label", "from_id", "to_label", "to_id"]
 OPEN_END_TEXT = "9999-12-31T23:59:59Z"
+#: Parts of the seeds with their lists, for each shuffle partition.
+LIST_PARTS = 8
 
 
 def person_id(person_key: str = "transaction") -> Column:
@@ -162,30 +164,80 @@ def shared_entities(edges: DataFrame, seeds: DataFrame | None = None,
     No pair list is built: for every entity only its best ``limit + 1``
     persons (by conf2 desc, id) can appear in any seed's answer, so those are
     selected per entity first (partial top-k before the shuffle, so a hub
-    device or IP costs ``limit + 1`` rows per map task), and each seed then
-    looks at most ``6 * (limit + 1)`` candidates.  The seeds of a hub entity are
-    dealt over salts.
+    device or IP costs ``limit + 1`` rows per map task) and kept as one list.
+    A seed's edge takes its entity's list along, one row an edge, to the seed,
+    where the best of its lists are picked: no row a candidate is shuffled or
+    sorted.  The seeds of a hub entity are dealt over salts.
     """
     e = (_entity_edges(edges).filter(F.col("confidence") >= min_confidence)
          .select(F.col("from_id").alias("person_id"), "to_label", "to_id", "confidence"))
     seed_edges = e if seeds is None else e.join(
         seeds.select("person_id").distinct(), "person_id", "left_semi")
     seed_edges = seed_edges.select(F.col("person_id"), "to_label", "to_id", F.col("confidence").alias("conf1"))
-    per_entity = Window.partitionBy("to_label", "to_id").orderBy(F.col("confidence").desc(), F.col("person_id"))
-    cand = (e.withColumn("_r", F.row_number().over(per_entity))
-             .filter(F.col("_r") <= limit + 1)
-             .select(F.col("person_id").alias("related_person"), "to_label", "to_id",
-                     F.col("confidence").alias("conf2")))
     entity = ["to_label", "to_id"]
+    per_entity = Window.partitionBy(*entity).orderBy(F.col("confidence").desc(), F.col("person_id"))
+    best = (e.withColumn("_r", F.row_number().over(per_entity))
+             .filter(F.col("_r") <= limit + 1))
+    # confidences negated, so that all orders rise; persons of one confidence together
+    runs = best.groupBy(*entity, (-F.col("confidence")).alias("low2")).agg(F.sort_array(F.collect_list("person_id")).alias("persons"))
+    lists = runs.groupBy(*entity).agg(F.collect_list(F.struct("low2", "persons")).alias("runs"))
     hot = {} if is_broadcast(e) else hot_keys(seed_edges, {"entity": entity})["entity"]
-    pairs = (salted_join(seed_edges, cand, entity, hot, "inner")
-                       .filter(F.col("person_id") != F.col("related_person")))
-    per_seed = Window.partitionBy("person_id").orderBy(
-        F.col("conf1").desc(), F.col("conf2").desc(), "related_person", "to_label", "to_id")
-    return (pairs.withColumn("rank", F.row_number().over(per_seed))
-                 .filter(F.col("rank") <= limit)
-                 .select("person_id", "related_person", F.col("to_label").alias("entity_type"),
-                         F.col("to_id").alias("entity_id"), "conf1", "conf2", "rank"))
+    # lists shrink well in a shuffle but not in memory: smaller parts than Spark would make of them
+    parts = LIST_PARTS * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = salted_join(seed_edges, lists, entity, hot, "inner").repartition(parts, "person_id")
+    owned = linked.groupBy("person_id").agg(F.collect_list(F.struct("conf1", *entity, "runs")).alias("edges"))
+
+    def own_runs(edge):
+        return F.transform(edge["runs"], lambda run: F.struct(
+            (-edge["conf1"]).alias("low1"), run["low2"], edge["to_label"].alias("entity_type"), edge["to_id"].alias("entity_id"),
+            F.array_remove(run["persons"], F.col("person_id")).alias("persons")))
+
+    top = _let(F.sort_array(F.flatten(F.transform("edges", own_runs))), lambda runs: _best_of_runs(runs, limit))
+    return (owned.select("person_id", F.posexplode(top).alias("_pos", "_c"))
+                 .select("person_id", "_c.related_person", "_c.entity_type", "_c.entity_id", (-F.col("_c.low1")).alias("conf1"),
+                         (-F.col("_c.low2")).alias("conf2"), (F.col("_pos") + 1).alias("rank")))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _best_of_runs(runs: Column, limit: int) -> Column:
+    """The first ``limit`` candidates of sorted runs (low1, low2, entity, sorted
+    persons), in order.  The level (low1, low2) in which the last of them lies is
+    found from the sizes, then the last person wanted of that level; only
+    candidates up to there become rows."""
+    def before(run, end):
+        return (run["low1"] < end["low1"]) | ((run["low1"] == end["low1"]) & (run["low2"] < end["low2"]))
+
+    def level(run, end):
+        return (run["low1"] == end["low1"]) & (run["low2"] == end["low2"])
+
+    def step(n, low1, low2):
+        return F.struct(n.cast("int").alias("n"), low1.cast("double").alias("low1"), low2.cast("double").alias("low2"))
+
+    def reach(so_far, run):
+        n = so_far["n"] + F.size(run["persons"])
+        return F.when(so_far["n"] >= limit, so_far).when(n >= limit, step(n, run["low1"], run["low2"])).otherwise(
+            step(n, so_far["low1"], so_far["low2"]))
+
+    def last_person(end):
+        earlier = F.aggregate(F.filter(runs, lambda r: before(r, end)), F.lit(0), lambda n, r: n + F.size(r["persons"]))
+        persons = F.flatten(F.transform(F.filter(runs, lambda r: level(r, end)), lambda r: r["persons"]))
+        return F.get(F.sort_array(persons), F.lit(limit - 1) - earlier)
+
+    def rows(end, last):
+        def of(run):
+            persons = F.when(before(run, end), run["persons"]).when(level(run, end), F.filter(run["persons"], lambda p: p <= last))
+            return F.transform(F.coalesce(persons, F.array().cast("array<string>")), lambda p: F.struct(
+                run["low1"].alias("low1"), run["low2"].alias("low2"), p.alias("related_person"),
+                run["entity_type"].alias("entity_type"), run["entity_id"].alias("entity_id")))
+        return F.slice(F.sort_array(F.flatten(F.transform(runs, of))), 1, limit)
+
+    everything = F.lit(float("inf"))
+    end = F.aggregate(runs, step(F.lit(0), everything, everything), reach)
+    return _let(end, lambda e: _let(last_person(e), lambda last: rows(e, last)))
 
 
 def high_risk_ips(edges: DataFrame, min_cards: int = config.HIGH_RISK_MIN_CARDS,
