@@ -176,3 +176,18 @@ def test_timeline_scans_and_repeated_ids(spark, tmp_path):
     assert plan.count("FileScan") <= 1 + 4 * 4  # the rows, and at most four a timeline
     assert [(r.acc_total_amount_24h, r.ip_unique_cards_1h, r.card_unique_accounts_24h, round(r.acc_fail_ratio_1h, 3))
             for r in got.collect()] == [(19, 2, 1, 0.333)] * 3
+
+
+def test_timeline_writes_few_events_once(spark):
+    """Of 200 occurrences of a value within a chunk only the ends of the run become
+    events, and the points are computed once however often the events are read."""
+    from ledgerlens.operators import timeline as TL
+    df = spark.range(200).select(F.lit("k").alias("k"), F.lit("v").alias("v"), F.timestamp_seconds("id").alias("event_time"))
+    kept = []
+
+    def keep(events):
+        kept.append(events.localCheckpoint())
+        return kept[-1]
+    swept = TL.sweep(TL.points(df, "k", {"n": F.lit(1)}), {"v": TL.occurrences(df, "k", "v")}, [TL.Trail(600, {"s": "n"}, {"d": "v"})], keep=keep)
+    assert sorted((r.s, r.d) for r in swept.collect()) == [(i + 1, 1) for i in range(200)]
+    assert len(kept) == 1 and kept[0].where("d <> 0").count() == 2
