@@ -157,12 +157,14 @@ def score_batch(batch: DataFrame, batch_id: int, state: BatchState, sink: BatchS
         if t0 is None:
             t0 = t1 = known["newest"] or 0
         newest = max(t1, known["newest"] or t1)
-        swept = state.kept("features", batch_id, TS.features(batch, state, batch_id, t0, t1))
+        own = state.kept("batch-points", batch_id, TS.batch_points(batch))
+        values = state.kept("batch-values", batch_id, TS.batch_values(batch))
+        swept = state.kept("features", batch_id, TS.features(own, values, state, batch_id, t0, t1))
         featured = attach_trails(batch, {e: TS.of_entity(swept, e) for e in TS.TRAILS})
         write_decisions(sink, batch_id, decide(evaluate_rules(attach_limits(featured)), ml_scores), {"late": late})
         if accounts is not None:
             MT.account_batch(accounts, batch_id, sink.batch(batch_id))
-        state.write(batch_id, TS.additions(batch), {"newest": newest, "late": late})
+        state.write(batch_id, TS.additions(own, values), {"newest": newest, "late": late})
         state.fold(batch_id, TS.merges(newest, lateness))
     finally:
         batch.unpersist()

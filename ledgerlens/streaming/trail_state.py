@@ -81,11 +81,11 @@ def sums() -> list[Column]:
     return [F.sum(m).cast("decimal(38,0)" if m == "amount" else "bigint").alias(m) for m in MEASURES]
 
 
-def features(tx: DataFrame, state: BatchState, batch: int, t0: int, t1: int) -> DataFrame:
-    """(entity, _k, _t, features) at the keys and times of ``tx``, whose times
-    lie in [t0, t1]."""
+def features(own: DataFrame, values: DataFrame, state: BatchState, batch: int, t0: int, t1: int) -> DataFrame:
+    """(entity, _k, _t, features) at the keys and times of a batch's points
+    ``own``; its times lie in [t0, t1].  Points and ``values`` are read several
+    times: hand over written tables."""
     hour, t = F.col("hour"), F.col("_t")
-    own, values = batch_points(tx), batch_values(tx)
     keys = own.select("entity", "_k").distinct()
     inside = [(hour >= t1 - tr.seconds * MICROS) & (hour + HOUR <= t0) for tr in TOGETHER]
     edge = [(hour + HOUR > t0 - tr.seconds * MICROS) & (hour <= t1) & ~i for tr, i in zip(TOGETHER, inside)]
@@ -105,9 +105,9 @@ def features(tx: DataFrame, state: BatchState, batch: int, t0: int, t1: int) ->
     old = state.read("value_hours", batch).where((hour + HOUR <= t0) & (t >= t0 - HORIZON))
     near = state.read("values", batch).where((t > t0 - HOUR) & (t <= t1)).where(hour_of(t) + HOUR > t0)
     seen = of_keys(union([old.select("entity", "_k", "_v", "_t"), near.select("entity", "_k", "_v", "_t")]))
-    return sweep(pts, {"_v": union([seen, values]).distinct()}, TOGETHER,
+    return sweep(pts, {"_v": union([seen, values])}, TOGETHER,
                  [(kind == 0) | ((kind == 1) & e) | ((kind == 2) & i) for e, i in zip(edge, inside)],
-                 [kind == 2] * len(TOGETHER), kind == 0, ["entity", "_k"])
+                 [kind == 2] * len(TOGETHER), kind == 0, ["entity", "_k"], lambda events: state.kept("events", batch, events))
 
 
 def of_entity(swept: DataFrame, entity: str) -> DataFrame:
@@ -115,10 +115,10 @@ def of_entity(swept: DataFrame, entity: str) -> DataFrame:
     return swept.where(F.col("entity") == entity).select("_k", "_t", *[n for tr in TRAILS[entity] for n in tr.names()])
 
 
-def additions(tx: DataFrame) -> dict[str, DataFrame]:
-    """What a batch adds to every table."""
+def additions(own: DataFrame, vals: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of these points and values adds to every table."""
     summed = [e for e, trails in TRAILS.items() if any(tr.sums for tr in trails)]
-    pts, vals = batch_points(tx).where(F.col("entity").isin(summed)), batch_values(tx)
+    pts = own.where(F.col("entity").isin(summed))
     return {"points": pts.select("entity", "_k", "_t", *MEASURES), "values": vals, "point_hours": hours(pts), "value_hours": value_hours(vals)}
 
 
