@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
+from ..session import written
 from .ordered import key_rank, last_n
 from .quantile import exact_percentile
 from .timeline import Trail, trailing
@@ -70,10 +71,10 @@ def sequences(tx: DataFrame, key: str = "national_code", n: int = config.SEQ_LEN
     prev = F.lag("event_time", 1)
     w = last_n(ranked, key, item, n, extra={"_prev_ts": prev})
     zeros = F.array_repeat(F.array(*[F.lit(0.0)] * len(_VEC_COLS)), F.lit(n) - F.size("_items"))
-    vecs = F.concat(zeros, F.transform("_items", lambda x: x["v"]))
+    vecs = F.concat(zeros, F.col("_items.v"))
     gap = (F.unix_micros("event_time") - F.unix_micros("_prev_ts")) / F.lit(3_600_000_000.0)
     return (w.withColumn("seq", F.flatten(vecs))
-             .withColumn("seq_ids", F.transform("_items", lambda x: x["id"]))
+             .withColumn("seq_ids", F.col("_items.id"))
              .withColumn("seq_len", F.size("_items"))
              .withColumn("gap_hours", gap)
              .drop("_items", "_prev_ts"))
@@ -178,8 +179,11 @@ class ReconstructionModel:
                       sketch: bool = False) -> float:
         """L5 + A11: threshold = percentile of normal errors, interpolated
         between ranks and exact at any size; ``sketch`` takes a value near it
-        from one scan."""
-        e = self.errors(normal_df)
+        from one scan.  The selection reads the errors several times: they are
+        computed once and written."""
+        e = self.errors(normal_df).select("recon_error")
+        if not sketch:
+            e = written(e, "errors")
         if sketch:
             found = e.agg(F.percentile_approx("recon_error", percentile / 100.0, 10000)).first()[0]
         else:

@@ -9,9 +9,9 @@ ordered operators here split every key into time chunks:
   (small) chunk table, and the rank inside a chunk from a window over
   (key, chunk).
 * ``last_n`` builds, for every row, the list of the ``n`` latest rows of its
-  key up to itself.  Rows are grouped in rank buckets of ``n``; each bucket
-  also receives the previous bucket as a halo, so a window over
-  (key, bucket) sees at most ``2n`` rows.
+  key up to itself.  Rows are grouped in rank buckets of ``10n``; each bucket
+  also receives the last ``n - 1`` rows of the previous one as a halo, so a
+  window over (key, bucket) sees fewer than ``11n`` rows.
 """
 from __future__ import annotations
 
@@ -37,18 +37,24 @@ def key_rank(df: DataFrame, key: str, ts: str = "event_time", tie: str = "transa
                   .drop("_k", "_chunk", "_local", "_off"))
 
 
+#: Lists of ``n`` rows that a bucket of ``last_n`` holds, besides its halo.
+BUCKET_LISTS = 10
+
+
 def last_n(df: DataFrame, key: str, item: Column, n: int, rank: str = "seq_rank",
            extra: dict[str, Column] | None = None) -> DataFrame:
     """Adds ``_items``: array of ``item`` for the ``n`` latest rows of the key
     up to and including the row (oldest first).  ``extra`` window
-    expressions (e.g. ``lag``) are evaluated over the same bounded frames."""
-    bucket = F.floor((F.col(rank) - 1) / F.lit(n)).cast("long")
-    base = df.withColumn("_item", item).withColumn("_b", bucket)
-    own = base.withColumn("_tb", F.col("_b")).withColumn("_halo", F.lit(False))
-    halo = base.withColumn("_tb", F.col("_b") + 1).withColumn("_halo", F.lit(True))
+    expressions (``lag`` by up to ``n - 1``, at least one) are evaluated over the
+    same bounded frames."""
+    size, halo_rows = BUCKET_LISTS * n, max(n - 1, 1)
+    place = F.col(rank) - 1
+    base = df.withColumn("_item", item).withColumn("_tb", F.floor(place / F.lit(size)).cast("long"))
+    own = base.withColumn("_halo", F.lit(False))
+    halo = base.where(place % size >= size - halo_rows).withColumn("_tb", F.col("_tb") + 1).withColumn("_halo", F.lit(True))
     u = own.unionByName(halo)
     part = Window.partitionBy(key, "_tb").orderBy(rank)
     u = u.withColumn("_items", F.collect_list("_item").over(part.rowsBetween(-(n - 1), 0)))
     for name, expr in (extra or {}).items():
         u = u.withColumn(name, expr.over(part))
-    return u.filter(~F.col("_halo")).drop("_item", "_b", "_tb", "_halo")
+    return u.filter(~F.col("_halo")).drop("_item", "_tb", "_halo")

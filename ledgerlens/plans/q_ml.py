@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..operators import ml as ML
 from ..operators.ml_scoring import SCORES, ScoringModels, fit_models, model_inputs
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import testdata as TD
 from . import oracle as O
 from .q_core import DECISION_COLUMNS, _decisions_sql, _feature_ctes, decision_columns
@@ -61,8 +61,9 @@ def q_ml_combine(spark, sf):
 
 
 def _labelled_sequences(spark, sf):
+    """Sequences and labels, written once: the fits and scores read them many times."""
     s = ML.sequences(TD.transactions(spark, sf), KEY)
-    return s.withColumn("label", (F.col("result") == "FAILED").cast("double"))
+    return written(s.select("transaction_id", "seq", (F.col("result") == "FAILED").cast("double").alias("label")), "sequences")
 
 
 def q_ml_sequence_probability(spark, sf):

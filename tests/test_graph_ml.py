@@ -191,3 +191,25 @@ def test_timeline_writes_few_events_once(spark):
     swept = TL.sweep(TL.points(df, "k", {"n": F.lit(1)}), {"v": TL.occurrences(df, "k", "v")}, [TL.Trail(600, {"s": "n"}, {"d": "v"})], keep=keep)
     assert sorted((r.s, r.d) for r in swept.collect()) == [(i + 1, 1) for i in range(200)]
     assert len(kept) == 1 and kept[0].where("d <> 0").count() == 2
+
+
+def test_last_n_copies_few_rows_as_halo(spark):
+    from ledgerlens.operators.ordered import last_n
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, None).otherwise("k").alias("k"), "id")
+    from pyspark.sql.window import Window
+    df = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id")).cast("long"))
+    got = last_n(df, "k", F.col("id"), 4, rank="r", extra={"prev": F.lag("id")}).collect()
+    for none in (True, False):
+        rows = sorted((r for r in got if (r.k is None) == none), key=lambda r: r.r)
+        ids = [i for i in range(1000) if (i % 3 == 0) == none]
+        assert [r._items for r in rows] == [ids[max(0, j - 3):j + 1] for j in range(len(ids))]
+        assert [r.prev for r in rows] == [None, *ids[:-1]]
+    union = last_n(df, "k", F.col("id"), 4, rank="r")
+    assert union.count() == 1000 and "% 40" in union._jdf.queryExecution().optimizedPlan().toString()  # the halo is a part of the rows
+
+
+def test_sequences_are_computed_once_for_fits_and_scores(spark):
+    """The plan that scores starts from the written sequences, not from the windows that made them."""
+    from ledgerlens.plans import q_ml as Q
+    plan = Q._labelled_sequences(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Relation" in plan
