@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from .features import ENTITIES, window_end, window_start
@@ -31,14 +32,20 @@ PARTIAL = "entity_id string, hour timestamp, " + ", ".join(f"{n} {t}" for n, t i
 VALUES = "entity_id string, hour timestamp, kind string, value string"
 
 
-def merged(partials: DataFrame, keys: list[str]) -> DataFrame:
+def needed(entity: str) -> list[str]:
+    """The columns of a transaction that the partials and values of an entity are made from."""
+    return list(dict.fromkeys([ENTITIES[entity].key, "event_time", "amount_rial", "is_night", "result", "is_carrier_nat",
+                               *DISTINCT[entity].values()]))
+
+
+def merged(partials: DataFrame, keys: list[str], also: list[Column] = ()) -> DataFrame:
     """Partials added up by ``keys``."""
     return partials.groupBy(*keys).agg(*[F.sum(n).cast(t).alias(n) for n, t in SUMS.items()], F.min("low").alias("low"),
-                                       F.max("high").alias("high"))
+                                       F.max("high").alias("high"), *also)
 
 
-def hourly(tx: DataFrame, entity: str) -> DataFrame:
-    """One partial a key and hour."""
+def hourly(tx: DataFrame, entity: str, also: list[Column] = ()) -> DataFrame:
+    """One partial a key and hour, with further aggregates of ``event_time``."""
     amount = F.col("amount_rial").cast("bigint")
     wide = amount.cast("decimal(19,0)")
 
@@ -49,8 +56,8 @@ def hourly(tx: DataFrame, entity: str) -> DataFrame:
             "small": one(amount < config.SMALL_TX_AMOUNT), "nats": one(F.col("is_carrier_nat")),
             "nat_known": one(F.col("is_carrier_nat").isNotNull())}
     rows = tx.select(F.col(ENTITIES[entity].key).alias("entity_id"), window_start(F.col("event_time"), "1 hour").alias("hour"),
-                     *[e.cast(SUMS[n]).alias(n) for n, e in each.items()], amount.alias("low"), amount.alias("high"))
-    return merged(rows, ["entity_id", "hour"])
+                     *[e.cast(SUMS[n]).alias(n) for n, e in each.items()], amount.alias("low"), amount.alias("high"), "event_time")
+    return merged(rows, ["entity_id", "hour"], also)
 
 
 def hourly_values(tx: DataFrame, entity: str) -> DataFrame:
@@ -67,6 +74,18 @@ def in_windows(hours: DataFrame, windows: list[str]) -> DataFrame:
     return hours.select("*", F.inline(each)).drop("hour")
 
 
+def firsts(values: DataFrame, entity: str, windows: list[str]) -> DataFrame:
+    """For each key and hour how many values of a column are new in the window
+    of each length there (``<name>_<place of the window>``).  A value is new where
+    its hour before lies in another window, so these numbers add up to the
+    distinct counts of the windows, and no value is repeated for each of them.
+    Repeated rows are new once."""
+    before = F.lag("hour").over(Window.partitionBy("entity_id", "kind", "value").orderBy("hour"))
+    new = [F.col("before").isNull() | (window_start(F.col("before"), w) != window_start(F.col("hour"), w)) for w in windows]
+    return values.withColumn("before", before).groupBy("entity_id", "hour").agg(
+        *[F.count_if((F.col("kind") == c) & is_new).alias(f"{n}_{i}") for n, c in DISTINCT[entity].items() for i, is_new in enumerate(new)])
+
+
 def metrics(entity: str) -> dict[str, Column]:
     """Output name -> expression over merged partials and distinct counts."""
     n, m = F.col("n"), F.col("amounts")
@@ -99,17 +118,16 @@ def rolled_up(partials: DataFrame, values: DataFrame, entity: str, windows: list
     windows = windows or config.WINDOWS
     keys = ["entity_id", "window_duration", "window_start"]
 
-    def wanted(df):
-        if only is None:
-            return df
-        same = reduce(Column.__and__, [df[k].eqNullSafe(only[k]) for k in keys])
-        return df.join(only, same, "left_semi")
-    sums = merged(wanted(in_windows(partials, windows)), keys)
-    seen = wanted(in_windows(values, windows)).select(*keys, "kind", "value").distinct()
-    counts = seen.groupBy(*[F.col(k).alias("_" + k) for k in keys]).agg(
-        *[F.count_if(F.col("kind") == c).alias(n) for n, c in DISTINCT[entity].items()])
-    same = reduce(Column.__and__, [sums[k].eqNullSafe(counts["_" + k]) for k in keys])
-    out = sums.join(counts, same, "left")
+    def wanted(df, these):
+        same = reduce(Column.__and__, [df[k].eqNullSafe(these[k]) for k in these.columns])
+        return df.join(these, same, "left_semi")
+
+    def of_window(name):
+        return F.coalesce(*[F.when(F.col("window_duration") == w, F.col(f"{name}_{i}")) for i, w in enumerate(windows)])
+    if only is not None:
+        values = wanted(values, only.select("entity_id").distinct())
+    rows = in_windows(partials.unionByName(firsts(values, entity, windows), allowMissingColumns=True), windows)
+    out = merged(rows if only is None else wanted(rows, only.select(*keys)), keys, [F.sum(of_window(n)).alias(n) for n in DISTINCT[entity]])
     end = reduce(lambda rest, w: F.when(F.col("window_duration") == w, window_end(F.col("window_start"), w)).otherwise(rest), windows,
                  F.lit(None).cast("timestamp"))
     return out.select(F.lit(ENTITIES[entity].name).alias("entity_type"), *keys, end.alias("window_end"),

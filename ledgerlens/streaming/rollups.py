@@ -39,22 +39,24 @@ def roll_batch(batch: DataFrame, batch_id: int, entity: str, state: BatchState,
     windows = windows or config.WINDOWS
     state.check(batch_id)
     known = (state.last(batch_id) or {}).get("newest")
-    partials = state.kept("batch-partials", batch_id, R.hourly(batch.where("event_time is not null"), entity))
-    values = R.hourly_values(batch.where("event_time is not null"), entity)
-    touched = R.in_windows(partials, windows).groupBy("entity_id", "window_duration", "window_start").agg(F.sum("n").alias("n"))
+    timed = batch.where("event_time is not null")
+    new = state.put(batch_id, {"partials": R.hourly(timed, entity, [F.max("event_time").alias("newest")]), "values": R.hourly_values(timed, entity)})
+    partials = new["partials"]
+    touched = R.in_windows(partials.withColumn("at", F.col("hour")), windows)
     length = F.create_map(*[F.lit(x) for w in windows for x in (w, config.WINDOW_SECONDS[w] * MICROS)])
     ends = F.unix_micros("window_start") + length[F.col("window_duration")]
     is_open = F.lit(True) if known is None else ends > known - delay * MICROS
-    late = touched.agg(F.coalesce(F.sum(F.when(~is_open, F.col("n"))), F.lit(0))).first()[0]
-    first, last = partials.agg(F.unix_micros(F.min("hour")), F.unix_micros(F.max("hour"))).first()
-    top = batch.agg(F.unix_micros(F.max("event_time"))).first()[0]
+    late, first, top = touched.agg(F.coalesce(F.sum(F.when(~is_open, F.col("n"))), F.lit(0)), F.unix_micros(F.min("at")),
+                                   F.unix_micros(F.max("newest"))).first()
     newest = max((x for x in (top, known) if x is not None), default=None)
-    only = touched.where(is_open).drop("n")
-    since = F.col("hour") >= F.timestamp_micros(F.lit((first or 0) - max(config.WINDOW_SECONDS.values()) * MICROS))
-    before = R.merged(state.read("partials", batch_id).where(since).unionByName(partials), ["entity_id", "hour"])
-    seen = state.read("values", batch_id).where(since).unionByName(values).distinct()
+    only = touched.where(is_open).select("entity_id", "window_duration", "window_start").distinct()
+    # no touched window starts before the one of the first hour
+    start = min((first or 0) - (first or 0) % (config.WINDOW_SECONDS[w] * MICROS) for w in windows)
+    since = F.col("hour") >= F.timestamp_micros(F.lit(start))
+    before = state.read("partials", batch_id).where(since).unionByName(partials.drop("newest"))
+    seen = state.read("values", batch_id).where(since).unionByName(new["values"])
     emit(R.rolled_up(before, seen, entity, windows, only), late)
-    state.write(batch_id, {"partials": partials, "values": values}, {"newest": newest, "late": late})
+    state.commit(batch_id, {"newest": newest, "late": late})
     if newest is not None:
         state.fold(batch_id, merges(newest, delay))
 
@@ -77,19 +79,18 @@ def start_rollups(stream: DataFrame, path: str, checkpoint_base: str, entities:
                 else:
                     out.write(batch_id, rows, {"windows": F.count(F.lit(1))}, {"late": late}, by="window_duration")
             roll_batch(batch, batch_id, entity, BatchState(spark, os.path.join(path, f"{entity}-state"), SCHEMAS), emit, windows, delay)
-        started[entity] = (stream.writeStream.queryName(f"rollup_{entity}").option("checkpointLocation", os.path.join(checkpoint_base, entity))
+        started[entity] = (stream.select(*R.needed(entity)).writeStream.queryName(f"rollup_{entity}").option("checkpointLocation", os.path.join(checkpoint_base, entity))
                            .trigger(**(trigger or {"processingTime": config.TRIGGER_INTERVAL})).foreachBatch(write).start())
     return started
 
 
 def watch(spark: SparkSession, queries: dict[str, StreamingQuery]) -> None:
-    """Wait until all queries end; when one fails, stop the others and raise."""
+    """Wait until all queries end; when one fails, stop the others and raise.
+    Other queries of the session, and how they ended, are not looked at."""
+    left = list(queries.values())
     try:
-        while any(q.isActive for q in queries.values()):
-            spark.streams.awaitAnyTermination()
-            spark.streams.resetTerminated()
-        for q in queries.values():
-            q.awaitTermination()  # raises what a query ended with
+        while left:
+            left = [q for q in left if not q.awaitTermination(1)]  # raises what a query ended with
     finally:
         for q in queries.values():
             if q.isActive:

@@ -77,6 +77,46 @@ def test_batches_touch_windows_and_late_rows_do_not(spark, tmp_path):
     assert out.keys() == {k for k in want if k[1] not in ("1 hour", "6 hours")} | closed.keys()
 
 
+def test_values_new_in_a_window_add_up_to_its_distinct_count(spark):
+    hours = [-1, 0, 0, 1, 5, 6, 7, 23, 24, 71, 72, 167, 168]
+    rows = [(k, h, c, v) for k in ("a", "b", None) for i, h in enumerate(hours) for c in ("account_number", "ip_address") for v in {f"v{i % 3}", f"w{i % 5}"}]
+    values = spark.createDataFrame(rows + rows[::3], "entity_id string, h long, kind string, value string")  # repeated rows too
+    values = values.withColumn("hour", F.timestamp_micros(F.col("h") * 3_600_000_000)).drop("h")
+    windows = ["6 hours", "7 days"]
+    keys = ["entity_id", "window_duration", "window_start"]
+    new = R.in_windows(R.firsts(values, "card", windows), windows)
+    sums = new.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in new.columns if c.startswith("card_")]).collect()
+    got = {tuple(r[k] for k in keys): [r[f"{n}_{windows.index(r.window_duration)}"] for n in R.DISTINCT["card"]] for r in sums}
+    want = R.in_windows(values, windows).groupBy(*keys).agg(*[F.countDistinct(F.when(F.col("kind") == c, F.col("value"))).alias(c)
+                                                             for c in ("account_number", "ip_address", "device_fp_hash")])
+    assert got == {tuple(r[k] for k in keys): list(r[3:]) for r in want.collect()}
+
+
+def test_a_micro_batch_is_read_once_for_partials_and_once_for_values(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            read.add(p.num_rows)
+            yield p
+    tx = frame(spark, np.linspace(0, 50_000, 40))
+    seen = []
+    RS.roll_batch(tx.mapInArrow(counted, tx.schema), 0, "ip", BatchState(spark, f"{tmp_path}/s", RS.SCHEMAS), lambda rows, n: seen.append(as_rows(rows)))
+    assert read.value == 2 * 40
+    RS.roll_batch(tx, 0, "ip", BatchState(spark, f"{tmp_path}/t", RS.SCHEMAS), lambda rows, n: seen.append(as_rows(rows)))
+    assert seen[0] == seen[1]
+
+
+def test_streams_carry_the_columns_they_use(spark, tmp_path, monkeypatch):
+    frame(spark, [1.0, 2.0]).withColumn("raw", F.lit("x")).write.parquet(f"{tmp_path}/src")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/src").schema).parquet(f"{tmp_path}/src")
+    seen = {}
+    monkeypatch.setattr(RS, "roll_batch", lambda batch, batch_id, entity, *rest: seen.update({entity: batch.columns}))
+    RS.watch(spark, RS.start_rollups(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt", trigger={"availableNow": True}))
+    assert seen == {e: R.needed(e) for e in FE.ENTITIES}
+    assert not any("raw" in c or "mobile_e164" in c for e, c in seen.items() if e != "account")
+
+
 def test_a_failing_query_stops_the_others(spark, tmp_path):
     frame(spark, [1.0, 2.0]).write.parquet(f"{tmp_path}/src")
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/src").schema).parquet(f"{tmp_path}/src")
@@ -88,3 +128,15 @@ def test_a_failing_query_stops_the_others(spark, tmp_path):
     with pytest.raises(Exception):
         RS.watch(spark, queries)
     assert not any(q.isActive for q in queries.values())
+
+
+def test_watch_does_not_raise_for_older_queries(spark, tmp_path):
+    frame(spark, [1.0, 2.0]).write.parquet(f"{tmp_path}/src")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/src").schema).parquet(f"{tmp_path}/src")
+
+    def fails(batch, batch_id):
+        raise RuntimeError("lost")
+    with pytest.raises(Exception):
+        stream.writeStream.option("checkpointLocation", f"{tmp_path}/bad").foreachBatch(fails).start().awaitTermination()
+    RS.watch(spark, RS.start_rollups(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt", ["ip"], trigger={"availableNow": True}))
+    assert RS.current(spark, f"{tmp_path}/out", "ip").count() > 0
