@@ -11,6 +11,7 @@ Spark ML estimators with the same inputs and outputs:
 * behaviour profiles -> ``StandardScaler`` + ``KMeans(k=5)``, best of
   several seeds by training cost.
 
+The first two are fitted by the passes of ``fitting`` and are Spark's models.
 Scoring never leaves the JVM: distances and residuals are array
 expressions over ``vector_to_array``; cluster centres are a 5 x 8 literal.
 """
@@ -18,17 +19,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
 from ..session import written
+from .fitting import moments, network_weights
 from .ordered import key_rank, last_n
 from .quantile import exact_percentile
 from .timeline import Trail, trailing
@@ -136,6 +141,19 @@ def sequence_vector(df: DataFrame, out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector("seq"))
 
 
+def spark_model(kind, stage, *parts):
+    """Spark's model of the given parts, with the settings of its estimator."""
+    sc = stage_context()
+    java = getattr(sc._jvm.org.apache.spark.ml, kind.__module__.rsplit(".", 1)[1])
+    made = kind(getattr(java, kind.__name__)(stage.uid, *[_py2java(sc, p) for p in parts]))
+    return stage._copyValues(made)
+
+
+def stage_context():
+    from pyspark import SparkContext
+    return SparkContext._active_spark_context
+
+
 # ---------------------------------------------------------------- L1/L2
 
 def fit_sequence_classifier(seq_df: DataFrame, label: str = "label", seed: int = 7,
@@ -144,8 +162,18 @@ def fit_sequence_classifier(seq_df: DataFrame, label: str = "label", seed: int =
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label,
                                          layers=[SEQ_DIM, *hidden, 2], seed=seed, maxIter=max_iter,
                                          blockSize=64)
-    data = sequence_vector(seq_df).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[mlp]).fit(data)
+    sc, layers = stage_context(), mlp.getLayers()
+    net = sc._jvm.org.apache.spark.ml.ann.FeedForwardTopology.multiLayerPerceptron(_int_array(sc, layers), True)
+    first = np.array(net.model(seed).weights().toArray())
+    weights = network_weights(seq_df, "seq", F.col(label).cast("double"), layers, first, max_iter, mlp.getTol())
+    return PipelineModel([spark_model(MultilayerPerceptronClassificationModel, mlp, Vectors.dense(weights))])
+
+
+def _int_array(sc, values: list[int]):
+    out = sc._gateway.new_array(sc._jvm.int, len(values))
+    for i, v in enumerate(values):
+        out[i] = v
+    return out
 
 
 def sequence_probability(model: PipelineModel, seq_df: DataFrame) -> DataFrame:
@@ -214,10 +242,18 @@ class ReconstructionModel:
 
 
 def fit_reconstruction(seq_df_normal: DataFrame, k: int = config.AE_BOTTLENECK) -> ReconstructionModel:
-    """L3."""
-    pipe = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True),
-                            PCA(k=k, inputCol="z", outputCol="pc")])
-    return ReconstructionModel(pipe.fit(sequence_vector(seq_df_normal)))
+    """L3: scaler and components from one pass; without variance a column is 0
+    after scaling, as Spark's scaler leaves it."""
+    scaler = StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True)
+    pca = PCA(k=k, inputCol="z", outputCol="pc")
+    _, mean, cov = moments(seq_df_normal, "seq", SEQ_DIM)
+    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    unit = np.where(std > 0, 1 / np.where(std > 0, std, 1.0), 0.0)
+    u, s, _ = np.linalg.svd(cov * np.outer(unit, unit))
+    share = s / s.sum() if s.sum() > 0 else s
+    return ReconstructionModel(PipelineModel([
+        spark_model(StandardScalerModel, scaler, Vectors.dense(std), Vectors.dense(mean)),
+        spark_model(PCAModel, pca, DenseMatrix(SEQ_DIM, k, u[:, :k].ravel(order="F")), Vectors.dense(share[:k]))]))
 
 
 # ---------------------------------------------------------------- L6/L7

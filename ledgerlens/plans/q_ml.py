@@ -176,7 +176,8 @@ def q_ml_decisions(spark, sf):
     label 1), kept and loaded again (S8), every transaction decided with its scores."""
     tx = TD.transactions(spark, sf)
     path = scratch_path(spark, f"models-{TD._fingerprint(spark, sf)}")
-    model_inputs(tx, KEY).write.mode("overwrite").parquet(path + "/inputs")
+    # no model reads the ids, lengths and gaps of the sequences
+    model_inputs(tx, KEY).drop("seq_ids", "seq_len", "gap_hours").write.mode("overwrite").parquet(path + "/inputs")
     inputs = spark.read.parquet(path + "/inputs")
     behavior = ML.behavioral_profile(tx, TD.end_of_data(tx), KEY)
     fit_models(inputs, F.col("result") == "FAILED", behavior, max_iter=20).save(spark, path)
