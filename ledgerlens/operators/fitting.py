@@ -1,7 +1,7 @@
 """Fits over many rows of vectors: Spark's models, other passes.
 
-Spark's network trainer holds all vectors as objects (10 bytes a value with
-what it copies) and, beyond the memory, reads them from disk in every
+Spark's network trainer caches all vectors (8 bytes a value) and, beyond the
+memory, reads them from disk in every
 evaluation; its covariance adds rank-one updates row by row.  Here tasks take
 vectors as matrices of some hundred rows:
 
